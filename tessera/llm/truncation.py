@@ -21,56 +21,71 @@ def _once(value: Column) -> Column:
 
 
 def known_words(answers: DataFrame, text: str, share: float) -> list[str]:
-    """Tokens in at least ``share`` of all rows, the rest being names; mean tokens a row / ``share`` bounds their number."""
-    per_row = answers.select(F.explode(F.array_distinct(_tokens(F.col(text)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    """Tokens that stand, other than at the end, in at least ``share`` of all rows; mean tokens a row / ``share`` bounds their number.
+
+    The rest are names, and words cut off in the middle.
+    """
+    toks = answers.select(_once(_tokens(F.col(text))).alias("t")).where("size(t) > 1")
+    per_row = toks.select(F.explode(F.array_distinct(F.slice("t", F.lit(1), F.size("t") - 1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total = answers.where(F.col(text).isNotNull()).count()
     return sorted(r.w for r in per_row.where(F.col("n") >= F.greatest(F.lit(5), F.lit(share * total))).select("w").collect() if not r.w.isdecimal())
 
 
 def trigram_rows(answers: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """``key, at`` with ``at`` an array of hashes of the trigrams of a row in order; the last one ends the text.
+    """``key, at``: the trigrams of a row in order as ``struct<fine, coarse, known>``; the last one ends the text.
 
-    Each token stands for itself if it is known or a sign, else for its kind (Latin, Han, number). The
-    first token of the text, if it is a sign, belongs to each trigram: a fenced answer ends in another way than a bare one.
+    In ``fine`` each token stands for itself if it is known or a sign, else for its kind (Latin, Han, number); in
+    ``coarse`` every word stands for its kind. ``known`` tells whether the last token of the three stands for itself. The first token
+    of the text, if it is a sign, belongs to each trigram: a fenced answer ends in another way than a bare one.
     """
 
-    def kind(t: Column) -> Column:
-        return F.when(t.isin(words), t).when(t.rlike("^\\p{N}"), F.lit("0")).when(t.rlike("^\\p{IsHan}"), F.lit("汉")).when(t.rlike("^\\p{L}"), F.lit("w")).otherwise(t)
+    def coded(t: Column) -> Column:
+        kind = F.when(t.rlike("^\\p{N}"), F.lit("0")).when(t.rlike("^\\p{IsHan}"), F.lit("汉")).when(t.rlike("^\\p{L}"), F.lit("w"))
+        own = t.isin(words)
+        return F.struct(F.xxhash64(F.when(own, t).otherwise(F.coalesce(kind, t))).alias("f"), F.xxhash64(F.coalesce(kind, t)).alias("c"), (own | kind.isNull()).alias("k"))
 
     toks = answers.where(f"{key} is not null and {text} is not null").select(F.col(key).alias("key"), _once(_tokens(F.col(text))).alias("t")).where("size(t) > 0")
     lead = F.when(F.element_at("t", 1).rlike("^[^\\p{L}\\p{N}]"), F.element_at("t", 1)).otherwise("a")
-    hashed = toks.select("key", lead.alias("lead"), _once(F.concat(F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint")), F.transform("t", lambda t: F.xxhash64(kind(t))))).alias("h"))
-    return hashed.select("key", F.transform(F.sequence(F.lit(0), F.size("h") - 3), lambda i: F.xxhash64("lead", F.get("h", i), F.get("h", i + 1), F.get("h", i + 2))).alias("at"))
+    start = F.struct(F.lit(0).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("c"), F.lit(True).alias("k"))
+    hashed = toks.select("key", lead.alias("lead"), _once(F.concat(F.array(start, start), F.transform("t", coded))).alias("h"))
+
+    def at(i: Column) -> Column:
+        x, y, z = F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)
+        return F.struct(F.xxhash64("lead", x["f"], y["f"], z["f"]).alias("fine"), F.xxhash64("lead", x["c"], y["c"], z["c"]).alias("coarse"), z["k"].alias("known"))
+
+    return hashed.select("key", _once(F.transform(F.sequence(F.lit(0), F.size("h") - 3), at)).alias("at"))
 
 
-def ending_table(trigrams: DataFrame) -> DataFrame:
-    """``tri, inside, ends``: how often each trigram stands within a text and at its end."""
-    rows = trigrams.select(_once(F.col("at")).alias("at")).select(F.size("at").alias("n"), F.posexplode("at").alias("i", "tri"))
-    return rows.groupBy("tri").agg(F.count_if(F.col("i") < F.col("n") - 1).alias("inside"), F.count_if(F.col("i") == F.col("n") - 1).alias("ends"))
+def ending_table(trigrams: DataFrame, max_end_share: float, few: int = 20) -> DataFrame:
+    """``fine, ends, inner``: how often each trigram ends a text, and whether it belongs inside texts.
+
+    It does if at most ``max_end_share`` of its occurrences are ends. Trigrams of fewer than ``few`` occurrences, and those
+    that end in a word that isn't known, are judged by their kinds instead.
+    """
+    rows = trigrams.select(F.size("at").alias("n"), F.posexplode("at").alias("i", "x")).select("n", "i", "x.fine", "x.coarse", "x.known")
+    fine = cut(rows.groupBy("fine", "coarse", "known").agg(F.count("*").alias("all"), F.count_if(F.col("i") == F.col("n") - 1).alias("ends")))
+    coarse = fine.groupBy("coarse").agg(F.sum("all").alias("all_c"), F.sum("ends").alias("ends_c"))
+    own = F.col("known") & (F.col("all") >= few)
+    inner = F.when(own, F.col("ends") <= max_end_share * F.col("all")).otherwise(F.col("ends_c") <= max_end_share * F.col("all_c"))
+    return fine.where("ends > 0").join(coarse, "coarse").select("fine", "ends", inner.alias("inner"))
 
 
 def truncated(answers: DataFrame, key: str = "key", text: str = "text", max_end_share: float = 0.03, word_share: float = 0.002, hot_share: float = 0.01) -> DataFrame:
     """``key`` of every answer whose last trigram is common inside texts but almost never ends one.
 
-    A trigram counts as an inner one if at most ``max_end_share`` of its occurrences
-    over all answers end a text. All answers are counted whole; empty, blank and null
-    texts and null keys are never flagged; a key is returned once. The few trigrams that end at least
-    ``hot_share`` of all texts (no more than 1 / ``hot_share`` of them) are decided by literals, so no join key is hot.
+    All answers are counted whole; empty, blank and null texts and null keys are never flagged; a key is returned
+    once. The few trigrams that end at least ``hot_share`` of all texts (no more than 1 / ``hot_share`` of them) are decided
+    by literals, so no join key is hot.
     """
     words = known_words(answers, text, word_share)
     rows = trigram_rows(answers, key, text, words)
-    table = cut(ending_table(rows))
+    table = cut(ending_table(rows, max_end_share))
     total = table.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
-    inner = _inner_ends(table, max_end_share)
-    hot = [r.tri for r in table.where(F.col("ends") >= F.greatest(F.lit(1000), F.lit(hot_share * total))).select("tri").collect()]
-    hot_inner = [r.tri for r in inner.where(F.col("tri").isin(hot)).collect()]
-    last = rows.select("key", F.element_at("at", -1).alias("tri"))
-    rest = last.where(~F.col("tri").isin(hot)).join(inner, "tri", "left_semi")
-    return rest.select("key").unionByName(last.where(F.col("tri").isin(hot_inner)).select("key")).distinct()
-
-
-def _inner_ends(table: DataFrame, max_end_share: float) -> DataFrame:
-    return table.where((F.col("ends") > 0) & (F.col("ends") <= max_end_share * (F.col("inside") + F.col("ends")))).select("tri")
+    hot = table.where(F.col("ends") >= F.greatest(F.lit(1000), F.lit(hot_share * total))).groupBy("fine").agg(F.max("inner").alias("inner")).collect()
+    names, inner = [r.fine for r in hot], [r.fine for r in hot if r.inner]
+    last = rows.select("key", F.element_at("at", -1)["fine"].alias("fine"))
+    rest = last.where(~F.col("fine").isin(names)).join(table.where("inner").select("fine"), "fine", "left_semi")
+    return rest.select("key").unionByName(last.where(F.col("fine").isin(inner)).select("key")).distinct()
 
 
 def rates(answers: DataFrame, runs: DataFrame, cut_keys: DataFrame) -> DataFrame:
