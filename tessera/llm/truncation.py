@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import cut
 
+#: Marks a kind that stands for a word.
+_MARK = "\u0001"
 #: A word, a number, one ideograph or one sign; white space only separates.
 TOKEN = "[\\p{L}&&[^\\p{IsHan}]]+|\\p{N}+|\\p{IsHan}|[^\\s\\p{L}\\p{N}]"
 
@@ -31,39 +33,41 @@ def known_words(answers: DataFrame, text: str, share: float) -> list[str]:
     return sorted(r.w for r in per_row.where(F.col("n") >= F.greatest(F.lit(5), F.lit(share * total))).select("w").collect() if not r.w.isdecimal())
 
 
-def trigram_rows(answers: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """``key, at``: the trigrams of a row in order as ``struct<fine, coarse, known>``; the last one ends the text.
+def _kind(t: Column) -> Column:
+    """Number, Han or Latin (any other letters) by the first code point; null for signs."""
+    c = F.ascii(t)
+    han = c.between(0x2E80, 0x2FDF) | c.between(0x3400, 0x9FFF) | c.between(0xF900, 0xFAFF) | (c >= 0x20000)
+    sign = (c < 0x41) | c.between(0x5B, 0x60) | c.between(0x7B, 0xA9) | c.between(0x2000, 0x2BFF) | c.between(0x3000, 0x303F) | (c >= 0xFE10)
+    return F.when(c.between(0x30, 0x39), "0").when(han, "汉").when(~sign, "w")
 
-    In ``fine`` each token stands for itself if it is known or a sign, else for its kind (Latin, Han, number); in
-    ``coarse`` every word stands for its kind. ``known`` tells whether the last token of the three stands for itself. The first token
-    of the text, if it is a sign, belongs to each trigram: a fenced answer ends in another way than a bare one.
-    """
-
-    def coded(t: Column) -> Column:
-        kind = F.when(t.rlike("^\\p{N}"), F.lit("0")).when(t.rlike("^\\p{IsHan}"), F.lit("汉")).when(t.rlike("^\\p{L}"), F.lit("w"))
-        own = t.isin(words)
-        return F.struct(F.xxhash64(F.when(own, t).otherwise(F.coalesce(kind, t))).alias("f"), F.xxhash64(F.coalesce(kind, t)).alias("c"), (own | kind.isNull()).alias("k"))
 
+def _rows(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, lead, t``: the tokens of each answer and, if the first is a sign, that sign: a fenced answer ends in another way than a bare one."""
     toks = answers.where(f"{key} is not null and {text} is not null").select(F.col(key).alias("key"), _once(_tokens(F.col(text))).alias("t")).where("size(t) > 0")
-    lead = F.when(F.element_at("t", 1).rlike("^[^\\p{L}\\p{N}]"), F.element_at("t", 1)).otherwise("a")
-    start = F.struct(F.lit(0).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("c"), F.lit(True).alias("k"))
-    hashed = toks.select("key", lead.alias("lead"), _once(F.concat(F.array(start, start), F.transform("t", coded))).alias("h"))
+    return toks.select("key", F.when(_kind(F.element_at("t", 1)).isNull(), F.element_at("t", 1)).otherwise("a").alias("lead"), "t")
+
+
+def _coded(tokens: Column, words: list[str]) -> Column:
+    """Known words and signs as they are, other words as a marked kind."""
+    return F.transform(tokens, lambda t: F.when(t.isin(words), t).otherwise(F.coalesce(F.concat(F.lit(_MARK), _kind(t)), t)))
 
-    def at(i: Column) -> Column:
-        x, y, z = F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)
-        return F.struct(F.xxhash64("lead", x["f"], y["f"], z["f"]).alias("fine"), F.xxhash64("lead", x["c"], y["c"], z["c"]).alias("coarse"), z["k"].alias("known"))
 
-    return hashed.select("key", _once(F.transform(F.sequence(F.lit(0), F.size("h") - 3), at)).alias("at"))
+def _judged(trigrams: DataFrame) -> DataFrame:
+    """Adds ``fine``, a hash of the trigram as coded, ``coarse``, one with every word as its kind, and ``known``: the last token stands for itself."""
+    kinds = [F.coalesce(F.concat(F.lit(_MARK), _kind(F.col(c))), F.col(c), F.lit("^")) for c in "xyz"]
+    return trigrams.select("*", F.xxhash64("lead", *[F.coalesce(F.col(c), F.lit("^")) for c in "xyz"]).alias("fine"), F.xxhash64("lead", *kinds).alias("coarse"), (~F.col("z").startswith(_MARK)).alias("known"))
 
 
-def ending_table(trigrams: DataFrame, max_end_share: float, few: int = 20) -> DataFrame:
+def ending_table(rows: DataFrame, words: list[str], max_end_share: float, few: int = 20) -> DataFrame:
     """``fine, ends, inner``: how often each trigram ends a text, and whether it belongs inside texts.
 
     It does if at most ``max_end_share`` of its occurrences are ends. Trigrams of fewer than ``few`` occurrences, and those
-    that end in a word that isn't known, are judged by their kinds instead.
+    that end in a word that isn't known, are judged by their kinds instead. Trigrams are counted as they are coded; kinds are made of the counts.
     """
-    rows = trigrams.select(F.size("at").alias("n"), F.posexplode("at").alias("i", "x")).select("n", "i", "x.fine", "x.coarse", "x.known")
-    fine = cut(rows.groupBy("fine", "coarse", "known").agg(F.count("*").alias("all"), F.count_if(F.col("i") == F.col("n") - 1).alias("ends")))
+    n = F.size("f") - 1
+    each = rows.select("lead", _once(_coded(F.col("t"), words)).alias("f")).select("lead", "f", F.explode(F.sequence(F.lit(0), n)).alias("i"))
+    grams = each.select("lead", F.get("f", F.col("i") - 2).alias("x"), F.get("f", F.col("i") - 1).alias("y"), F.get("f", F.col("i")).alias("z"), (F.col("i") == n).alias("end"))
+    fine = cut(_judged(grams.groupBy("lead", "x", "y", "z").agg(F.count("*").alias("all"), F.count_if("end").alias("ends"))).select("fine", "coarse", "known", "all", "ends"))
     coarse = fine.groupBy("coarse").agg(F.sum("all").alias("all_c"), F.sum("ends").alias("ends_c"))
     own = F.col("known") & (F.col("all") >= few)
     inner = F.when(own, F.col("ends") <= max_end_share * F.col("all")).otherwise(F.col("ends_c") <= max_end_share * F.col("all_c"))
@@ -78,12 +82,13 @@ def truncated(answers: DataFrame, key: str = "key", text: str = "text", max_end_
     by literals, so no join key is hot.
     """
     words = known_words(answers, text, word_share)
-    rows = trigram_rows(answers, key, text, words)
-    table = cut(ending_table(rows, max_end_share))
+    rows = _rows(answers, key, text)
+    table = cut(ending_table(rows, words, max_end_share))
     total = table.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
     hot = table.where(F.col("ends") >= F.greatest(F.lit(1000), F.lit(hot_share * total))).groupBy("fine").agg(F.max("inner").alias("inner")).collect()
     names, inner = [r.fine for r in hot], [r.fine for r in hot if r.inner]
-    last = rows.select("key", F.element_at("at", -1)["fine"].alias("fine"))
+    tail = rows.select("key", "lead", _once(_coded(F.slice("t", F.greatest(F.size("t") - 2, F.lit(1)), F.lit(3)), words)).alias("f"))
+    last = _judged(tail.select("key", "lead", F.get("f", F.size("f") - 3).alias("x"), F.get("f", F.size("f") - 2).alias("y"), F.element_at("f", -1).alias("z"))).select("key", "fine")
     rest = last.where(~F.col("fine").isin(names)).join(table.where("inner").select("fine"), "fine", "left_semi")
     return rest.select("key").unionByName(last.where(F.col("fine").isin(inner)).select("key")).distinct()
 
