@@ -18,9 +18,14 @@ def _mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(printed_rows(), "c string, to array<struct<c: string, k: int>>")
 
 
-@F.pandas_udf("string")
-def _recompose(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _recompose(column: str) -> Column:
+    """Marks joined with their letters where one code point exists for both."""
+
+    @F.pandas_udf("string")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return compose(column)
 
 
 def visual_forms(df: DataFrame, key: list[str], text: str, keep: dict[str, Column] | None = None) -> DataFrame:
