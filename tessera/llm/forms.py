@@ -6,11 +6,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.chars import needs_form, printed_rows
-from tessera.runtime import broadcast_if_small, digest
+from tessera.runtime import broadcast_if_small, cut, digest
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
@@ -18,12 +17,26 @@ def _mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(printed_rows(), "c string, to array<struct<c: string, k: int>>")
 
 
-def _recompose(column: str) -> Column:
-    """Marks joined with their letters where one code point exists for both."""
+def _ordered(points: list[str]) -> list[str]:
+    """Code points with each run of marks in the order of their combining classes; marks of one class keep their order."""
+    out, run = [], []
+    for c in points:
+        k = unicodedata.combining(c)
+        if k:
+            run.append((k, c))
+            continue
+        out += [x for _, x in sorted(run, key=lambda r: r[0])]
+        run = []
+        out.append(c)
+    return out + [x for _, x in sorted(run, key=lambda r: r[0])]
+
+
+def _recompose(column: Column) -> Column:
+    """Marks ordered by class and joined with their letters where one code point exists for both; nulls stay."""
 
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+        return s.map(lambda x: unicodedata.normalize("NFC", "".join(_ordered(list(x)))), na_action="ignore")
 
     return compose(column)
 
@@ -31,56 +44,37 @@ def _recompose(column: str) -> Column:
 def visual_forms(df: DataFrame, key: list[str], text: str, keep: dict[str, Column] | None = None) -> DataFrame:
     """``key``, the columns of ``keep`` and ``form``, one row for each row of ``df``; ``key`` must be unique.
 
-    Texts that differ from their printed form are exploded to positioned code points,
-    joined with the broadcast table of decompositions and look-alikes, their marks
-    ordered by combining class, recomposed and rebuilt; all other texts, known by one
-    regular expression, are their own form. Rows whose text is null get a null form;
-    the empty text has the empty form, as has a text of hidden characters only.
-    ``keep`` gives expressions over ``df`` that are carried along (small ones: they
-    travel with each code point). If ``df`` is partitioned by ``key``, nothing moves.
+    Texts that may differ from their printed form, known by one regular expression, are exploded to positioned code
+    points and joined with the broadcast table of decompositions and look-alikes; others are one piece, which the table
+    doesn't have. The pieces are put together in order; where marks came up, they are ordered by combining class and
+    recomposed. Rows whose text is null get a null form; the empty text, and one of hidden characters only, the empty
+    form. ``keep`` gives expressions over ``df`` that are carried along (small ones: they travel with each code point).
+    If ``df`` is partitioned by ``key``, nothing moves.
     """
     keep = keep or {}
     names = [*key, *keep]
     base = df.select(*key, *[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
-    plain = base.where(F.col("_text").isNull() | ~needs_form(F.col("_text"))).select(*names, F.col("_text").alias("form"))
+    pieces = F.when(needs_form(F.col("_text")), F.split("_text", "")).otherwise(F.array("_text"))
     points = (
-        base.where(needs_form(F.col("_text")))
-        .select(*names, F.posexplode(F.split("_text", "")).alias("_pos", "c"))
+        base.select(*names, F.posexplode(pieces).alias("_pos", "c"))
         .join(F.broadcast(_mapping(df.sparkSession)), "c", "left")
-        .select(*names, "_pos", F.posexplode(F.coalesce("to", F.array(F.struct(F.col("c").alias("c"), F.lit(0).alias("k"))))).alias("_sub", "x"))
-        .select(*names, "_pos", "_sub", F.col("x.c").alias("c"), F.col("x.k").alias("k"))
-    )
-    starter = F.sum((F.col("k") == 0).cast("int")).over(W.partitionBy(*key).orderBy("_pos", "_sub"))
-    rebuilt = (
-        points.withColumn("_start", starter)
-        .groupBy(*key)
-        .agg(*[F.first(n).alias(n) for n in keep], F.max("k").alias("_marks"), F.sort_array(F.collect_list(F.struct("_start", "k", "_pos", "_sub", "c"))).alias("_all"))
-        .select(*names, "_marks", F.array_join(F.transform("_all", lambda x: x["c"]), "").alias("_s"))
+        .select(*names, "_pos", "c", F.posexplode_outer("to").alias("_sub", "x"), F.col("to").isNotNull().alias("_mapped"))
+        .select(*names, F.struct((F.col("_pos") * 32 + F.coalesce("_sub", F.lit(0))).alias("at"), F.when(F.col("_mapped"), F.coalesce("x.c", F.lit(""))).otherwise(F.col("c")).alias("c")).alias("_p"), F.coalesce("x.k", F.lit(0)).alias("_k"))
     )
-    composed = rebuilt.where("_marks = 0").select(*names, F.col("_s").alias("form")).unionByName(rebuilt.where("_marks > 0").select(*names, _recompose("_s").alias("form")))
-    # A text of hidden characters only leaves no code point, hence no group.
-    vanished = base.where(needs_form(F.col("_text")) & (F.length(F.regexp_replace("_text", _hidden_class(), "")) == 0)).select(*names, F.lit("").alias("form"))
-    return plain.unionByName(composed).unionByName(vanished)
-
-
-def _hidden_class() -> str:
-    cps = sorted(ord(c) for c, to in printed_rows() if not to)
-    out, start = [], cps[0]
-    for a, b in zip(cps, [*cps[1:], None], strict=True):
-        if b != a + 1:
-            out.append(f"\\x{{{start:X}}}-\\x{{{a:X}}}")
-            start = b
-    return "[" + "".join(out) + "]"
+    whole = points.groupBy(*key).agg(*[F.first(n).alias(n) for n in keep], F.max("_k").alias("_marks"), F.sort_array(F.collect_list("_p")).alias("_all"))
+    joined = whole.select(*names, "_marks", F.when(F.size(F.filter("_all", lambda p: p["c"].isNotNull())) > 0, F.array_join("_all.c", "")).alias("_s"))
+    return joined.select(*names, F.coalesce(_recompose(F.when(F.col("_marks") > 0, F.col("_s"))), F.col("_s")).alias("form"))
 
 
 def text_forms(docs: DataFrame) -> DataFrame:
     """``did, raw, form`` for each document with a key and a text; both are digests, and equal forms mean equal looks.
 
-    A repeated ``did`` counts once (its repetitions are the same record); null keys and null texts take no part.
+    A repeated ``did`` counts once (its repetitions are the same record); null keys and null texts take no part. The
+    digests are written once, as all that follows reads them several times.
     """
     one = docs.select("did", "text").where("did is not null and text is not null").dropDuplicates(["did"])
     forms = visual_forms(one, ["did"], "text", {"raw": digest(F.col("text"))})
-    return forms.select("did", "raw", digest(F.col("form")).alias("form"))
+    return cut(forms.select("did", "raw", digest(F.col("form")).alias("form")))
 
 
 def look_alike_classes(forms: DataFrame) -> DataFrame:
