@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.embed import DIM, hash_vector
-from tessera.runtime import broadcast_if_small
+from tessera.runtime import broadcast_if_small, cut
 
 UNSEEN = 1_000_000  # the weight 1 of tokens without statistics, in parts of a million
 
@@ -58,15 +58,15 @@ def with_zero_scores(scores: DataFrame, queries: DataFrame, pool: DataFrame, n:
     return scores.unionByName(fill)
 
 
-def sentence_vectors(records: DataFrame, weights: DataFrame, vector: Column | None = None, dim: int = DIM) -> DataFrame:
+def sentence_vectors(records: DataFrame, weights: DataFrame, vector: Column | None = None, dim: int = DIM, max_vocabulary: int = 200_000) -> DataFrame:
     """``dataset, did, ord, vec``: the weighted sum of token vectors over all occurrences, in integers (weights in thousandths).
 
-    Tokens are counted within the record before anything is joined or hashed. Records without units have no vector.
+    Tokens are counted within the record, and hashed once each, before they meet. Records without units have no vector.
     """
     counted = records.select("dataset", "did", "ord", F.explode("units").alias("token")).groupBy("dataset", "did", "ord", "token").agg(F.count("*").alias("n"))
-    w = F.floor(F.coalesce("w", F.lit(UNSEEN)) / 1000).cast("bigint")
-    parts = counted.join(weights, ["dataset", "token"], "left").select("dataset", "did", "ord", (F.col("n") * w).alias("m"), (hash_vector(F.col("token"), dim) if vector is None else vector).alias("v"))
-    sums = parts.groupBy("dataset", "did", "ord").agg(*[F.sum(F.col("m") * F.col("v")[i]).alias(f"v{i}") for i in range(dim)])
+    tokens = vocabulary(records).join(weights, ["dataset", "token"], "left").select("dataset", "token", F.floor(F.coalesce("w", F.lit(UNSEEN)) / 1000).cast("bigint").alias("m"), (hash_vector(F.col("token"), dim) if vector is None else vector).alias("v"))
+    parts = counted.join(broadcast_if_small(cut(tokens), max_vocabulary), ["dataset", "token"])
+    sums = parts.groupBy("dataset", "did", "ord").agg(*[F.sum(F.col("n") * F.col("m") * F.col("v")[i]).alias(f"v{i}") for i in range(dim)])
     return sums.select("dataset", "did", "ord", F.array(*[F.col(f"v{i}") for i in range(dim)]).alias("vec"))
 
 

@@ -159,7 +159,7 @@ def retrieve_token_topk(spark, d):
 
 
 def _vectors(records: DataFrame) -> DataFrame:
-    return retrieval.sentence_vectors(records, stats.weighted(P.train_stats(records)))
+    return retrieval.sentence_vectors(records, cut(stats.weighted(P.train_stats(records))))
 
 
 @query
@@ -173,7 +173,7 @@ def sentence_vectors(spark, d):
 
 
 def _embed_picks(records: DataFrame, n: int) -> DataFrame:
-    v = _vectors(records).join(records.select("did", "split"), "did")
+    v = cut(_vectors(records)).join(records.select("did", "split"), "did")
     return retrieval.nearest(P.query_records(v), P.train(v), n)
 
 
@@ -185,8 +185,8 @@ def retrieve_embed_topk(spark, d):
 @query
 def retrieve_hybrid_topk(spark, d):
     r = _records(spark, d)
-    w = stats.weighted(P.train_stats(r))
-    v = retrieval.sentence_vectors(r, w).select("did", "vec").join(r.select("dataset", "split", "did", "ord", "units"), "did")
+    w = cut(stats.weighted(P.train_stats(r)))
+    v = cut(retrieval.sentence_vectors(r, w)).select("did", "vec").join(r.select("dataset", "split", "did", "ord", "units"), "did")
     return retrieval.hybrid_nearest(P.query_records(v), P.train(v), w, 8).select("did", "pool_did", "score")
 
 

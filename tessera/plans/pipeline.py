@@ -10,6 +10,7 @@ from tessera.functions.prompts import entities_json, generation_prompt
 from tessera.functions.spans import SPAN
 from tessera.operators import align, reflect, retrieval, stats
 from tessera.plans.config import DATASETS, Settings
+from tessera.runtime import cut
 from tessera.sources.corpus import corpus
 
 SPANS = f"array<{SPAN}>"
@@ -59,7 +60,7 @@ def query_records(records: DataFrame) -> DataFrame:
 
 def token_picks(records: DataFrame, n: int = 8) -> DataFrame:
     q, pool = query_records(records), train(records)
-    scores = retrieval.token_scores(q, pool, stats.weighted(train_stats(records)))
+    scores = cut(retrieval.token_scores(q, pool, cut(stats.weighted(train_stats(records)))))
     return retrieval.ranked(retrieval.with_zero_scores(scores, q, pool, n), "s_token", n)
 
 
