@@ -20,8 +20,9 @@ class VantageTree:
     """Points in cells: each inner node has a vantage point and the median distance that parts its points."""
 
     def __init__(self, x: np.ndarray, cell: int, seed: int = 0):
-        self.nodes: list[tuple] = []  # (vantage point, radius, inner, outer) or a cell's number
+        self.nodes: list = []  # (number of the vantage point, radius, inner, outer), or a cell's number
         self.cells: list[np.ndarray] = []
+        points: list[np.ndarray] = []
         rng = np.random.default_rng(seed)
         todo = [(np.arange(len(x)), self._new())]
         while todo:
@@ -33,11 +34,13 @@ class VantageTree:
             else:
                 v, mu, inner, outer = part
                 a, b = self._new(), self._new()
-                self.nodes[at] = (v, mu, a, b)
+                self.nodes[at] = (len(points), mu, a, b)
+                points.append(v)
                 todo += [(inner, a), (outer, b)]
+        self.points = np.array(points, np.float32).reshape(len(points), x.shape[1])
 
     def _new(self) -> int:
-        self.nodes.append(())
+        self.nodes.append(None)
         return len(self.nodes) - 1
 
     @staticmethod
@@ -55,25 +58,29 @@ class VantageTree:
             return None
         return v, mu, own[inside], own[~inside]
 
-    def home(self, q: np.ndarray) -> np.ndarray:
-        """The cell each point falls into."""
-        out, todo = np.zeros(len(q), np.int64), [(0, np.arange(len(q)))]
+    def gaps(self, q: np.ndarray) -> np.ndarray:
+        """Distance of each point of ``q`` to each vantage point, a row for each of those."""
+        return distances(self.points, q)
+
+    def home(self, d: np.ndarray) -> np.ndarray:
+        """The cell each point falls into, given its distances to the vantage points."""
+        out, todo = np.zeros(d.shape[1], np.int64), [(0, np.arange(d.shape[1]))]
         while todo:
             at, own = todo.pop()
             node = self.nodes[at]
             if isinstance(node, int):
                 out[own] = node
             elif len(own):
-                inside = distances(q[own], node[0][None, :])[:, 0] <= node[1]
+                inside = d[node[0]][own] <= node[1]
                 todo += [(node[2], own[inside]), (node[3], own[~inside])]
         return out
 
-    def reach(self, q: np.ndarray, radius, factor: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(cell, rows of ``q``) for each cell not ruled out: the triangle inequality with ``factor`` times the radius.
+    def reach(self, d: np.ndarray, radius: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(cell, rows) for each cell not ruled out: the triangle inequality with ``factor`` times the radius.
 
-        ``radius`` is called for each node with the rows concerned, so it may shrink while cells are searched.
+        ``radius`` may shrink while the cells are searched.
         """
-        todo = [(0, np.arange(len(q)))]
+        todo = [(0, np.arange(d.shape[1]))]
         while todo:
             at, own = todo.pop()
             if not len(own):
@@ -82,7 +89,7 @@ class VantageTree:
             if isinstance(node, int):
                 yield node, own
                 continue
-            gap, r = distances(q[own], node[0][None, :])[:, 0] - node[1], factor * radius(own) + 1e-3
+            gap, r = d[node[0]][own] - node[1], factor * radius[own] + 1e-3
             todo += [(node[2], own[gap <= r]), (node[3], own[gap >= -r])]
 
 
@@ -95,6 +102,11 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def reach_of(sims: np.ndarray) -> np.ndarray:
+    """The distance that belongs to a cosine."""
+    return np.sqrt(np.maximum(2 - 2 * sims, 0))
+
+
 class Nearest:
     """Search for the ``k`` most similar among the points of one shard."""
 
@@ -103,54 +115,57 @@ class Nearest:
         self.x = self.exact.astype(np.float32)
         self.tree = VantageTree(self.x, cell)
         self.blocks = [(own, np.ascontiguousarray(self.x[own].T)) for own in self.tree.cells]
+        self.by_id = np.argsort(ids, kind="stable")
+        self.cell_of, self.slot_of = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for c, own in enumerate(self.tree.cells):
+            self.cell_of[own], self.slot_of[own] = c, np.arange(len(own))
 
     def search(self, ids: np.ndarray, raw: np.ndarray, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(row, ids, cosines) of up to k neighbours more similar than ``floor``, best first, ties by smaller id."""
         exact = unit(raw)
         q = exact.astype(np.float32)
         keep = self.k + SPARE
-        sims, at = np.full((len(q), keep), -3, np.float32), np.zeros((len(q), keep), np.int64)
         low = floor.astype(np.float32) - 1e-5
+        sims, at = np.full((len(q), keep), -3, np.float32), np.zeros((len(q), keep), np.int64)
+        worst, radius = low.copy(), reach_of(low)  # of each query: what a candidate must exceed, and how far the k-th may be
+        place = np.minimum(np.searchsorted(self.ids, ids, sorter=self.by_id), len(self.ids) - 1)
+        me = self.by_id[place]
+        own_cell = np.where(self.ids[me] == ids, self.cell_of[me], -1)
 
         def take(cell: int, own: np.ndarray) -> None:
             points, block = self.blocks[cell]
             s = q[own] @ block
-            s[ids[own][:, None] == self.ids[points][None, :]] = -3
-            worst = np.maximum(sims[own].min(axis=1), low[own])
-            some = np.flatnonzero((s > worst[:, None]).any(axis=1))
+            selves = np.flatnonzero(own_cell[own] == cell)
+            s[selves, self.slot_of[me[own[selves]]]] = -3
+            some = np.flatnonzero(s.max(axis=1) > worst[own])
             if len(some):
                 rows, s = own[some], s[some]
                 n = min(keep, s.shape[1])
                 best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.broadcast_to(np.arange(n), s.shape)
                 both_s = np.concatenate([sims[rows], np.take_along_axis(s, best, 1)], axis=1)
                 both_at = np.concatenate([at[rows], points[best]], axis=1)
-                top = np.argpartition(-both_s, keep - 1, axis=1)[:, :keep]
+                top = np.argsort(-both_s, axis=1)[:, :keep]
                 sims[rows], at[rows] = np.take_along_axis(both_s, top, 1), np.take_along_axis(both_at, top, 1)
+                worst[rows] = np.maximum(sims[rows, -1], low[rows])
+                radius[rows] = reach_of(np.maximum(sims[rows, self.k - 1], low[rows]))
 
-        home = self.tree.home(q)
+        d = self.tree.gaps(q)
+        home = self.tree.home(d)
         order = np.argsort(home, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
             if len(own):
                 take(int(home[own[0]]), own)
-
-        def radius(own: np.ndarray) -> np.ndarray:
-            kth = -np.partition(-sims[own], self.k - 1, axis=1)[:, self.k - 1]
-            return np.sqrt(np.maximum(2 - 2 * np.maximum(kth, low[own]), 0))
-
-        for cell, own in self.tree.reach(q, radius, self.factor):
+        for cell, own in self.tree.reach(d, radius, self.factor):
             own = own[home[own] != cell]
             if len(own):
                 take(cell, own)
-        for i in range(len(q)):
-            ok = sims[i] > -2
-            if not ok.any():
-                continue
-            near = at[i][ok]
+        for i in np.flatnonzero(sims[:, 0] > -2):
+            near = at[i][sims[i] > -2]
             cos = self.exact[near] @ exact[i]
             rank = np.lexsort((self.ids[near], -cos))
             rank = rank[cos[rank] >= floor[i]][: self.k]
             if len(rank):
-                yield i, self.ids[near[rank]], cos[rank]
+                yield int(i), self.ids[near[rank]], cos[rank]
 
 
 def _raw(column: pd.Series, dim: int) -> np.ndarray:
@@ -205,7 +220,7 @@ def _answer(k: int, factor: float, leaf: int, dim: int):
 _FOUND = "id bigint, near array<bigint>, cos array<double>"
 
 
-def neighbours(points: DataFrame, k: int, dim: int, factor: float = 0.3, shard_rows: int = 30_000, leaf: int = 128, fit_rows: int = 20_000) -> DataFrame:
+def neighbours(points: DataFrame, k: int, dim: int, factor: float = 0.3, shard_rows: int = 100_000, leaf: int = 256, fit_rows: int = 20_000) -> DataFrame:
     """``id, near, cos`` rows whose union over an id holds its ``k`` most similar other points of ``points`` (``id, vec``).
 
     A vantage-point tree fitted on at most ``fit_rows`` points (by hash) parts all points into shards of about
@@ -228,7 +243,7 @@ def neighbours(points: DataFrame, k: int, dim: int, factor: float = 0.3, shard_r
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(shard=router.value.home(unit(_raw(pdf["vec"], dim)).astype(np.float32)))
+                yield pdf.assign(shard=router.value.home(router.value.gaps(unit(_raw(pdf["vec"], dim)).astype(np.float32))))
 
     placed = cut(points.select("id", "vec").mapInPandas(locate, "id bigint, vec binary, shard bigint"))
     sizes = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -255,9 +270,9 @@ def neighbours(points: DataFrame, k: int, dim: int, factor: float = 0.3, shard_r
             if not len(pdf):
                 continue
             q = unit(_raw(pdf["vec"], dim)).astype(np.float32)
-            r = np.sqrt(np.maximum(2 - 2 * pdf["floor"].to_numpy(), 0))
+            r = reach_of(pdf["floor"].to_numpy())
             shard, slot = pdf["shard"].to_numpy(), (pdf["id"].to_numpy() % lanes)
-            for s, rows in router.value.reach(q, lambda own, r=r: r[own], factor):
+            for s, rows in router.value.reach(router.value.gaps(q), r, factor):
                 rows = rows[shard[rows] != s]
                 if len(rows) and s in first:
                     for p in range(parts[s]):
@@ -268,7 +283,7 @@ def neighbours(points: DataFrame, k: int, dim: int, factor: float = 0.3, shard_r
     return own.unionByName(others)
 
 
-def top_k(vectors: DataFrame, k: int = 5, dim: int = 64, factor: float = 0.3, shard_rows: int = 30_000, leaf: int = 128) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, dim: int = 64, factor: float = 0.3, shard_rows: int = 100_000, leaf: int = 256) -> DataFrame:
     """``vec_id, rank, near_id, cos``: the ``k`` most similar other vectors of every usable vector, ties by smaller id.
 
     Null vectors, those of another length, with null or infinite numbers or all zeros, and null ids take no part; a
