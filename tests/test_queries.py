@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
@@ -24,7 +25,7 @@ def con():
 def rows(df):
     def plain(x):
         x = x.tolist() if hasattr(x, "tolist") else x
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if x is None or x is pd.NA or isinstance(x, float) and math.isnan(x):
             return "~"
         return str(int(x)) if isinstance(x, float) and x == int(x) else repr(x) if isinstance(x, float) else str(x)
 
