@@ -186,10 +186,10 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def _scatter(rows: DataFrame, cells: int) -> DataFrame:
-    """One partition for each cell, data before queries."""
+    """One partition for each cell, data before queries, in the same order in every attempt."""
     by_id = getattr(rows, "repartitionById", None)
     placed = by_id(cells, F.col("cell")) if by_id else rows.repartition(cells, "cell")
-    return placed.sortWithinPartitions("cell", "kind")
+    return placed.sortWithinPartitions("cell", "kind", "id")
 
 
 def _answer(k: int, factor: float, leaf: int, dim: int):
