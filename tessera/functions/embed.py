@@ -34,6 +34,19 @@ def encode(texts: DataFrame, column: str, model: Callable[[], Callable[[list[str
     return texts.select(F.col(column).alias("text")).where("text is not null").distinct().mapInPandas(run, "text string, vec array<double>")
 
 
+def cached_vectors(texts: DataFrame, column: str, path: str, model: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+    """``text, vec`` of the distinct texts: those not yet in the table at ``path`` are encoded and appended to it."""
+    spark, schema = texts.sparkSession, "text string, vec array<float>"
+    asked = texts.select(F.col(column).alias("text")).where("text is not null").distinct()
+    try:
+        known = spark.read.schema(schema).parquet(path)
+        known.limit(1).count()
+    except Exception:  # noqa: BLE001
+        known = spark.createDataFrame([], schema)
+    encode(asked.join(known, "text", "left_anti"), "text", model).select("text", F.col("vec").cast("array<float>").alias("vec")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).dropDuplicates(["text"]).join(asked, "text", "left_semi")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 if either norm is 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

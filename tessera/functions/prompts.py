@@ -52,6 +52,31 @@ def generation_prompt(sentence: Column, demos: Column, types: list[str], lang: s
     return F.array_join(F.concat(F.array(*parts), shown, F.array(tail)), "\n\n")
 
 
+EXAMPLES = {
+    "en": ("Inside an entity:", "Next to an entity:", "Elsewhere:"),
+    "zh": ("在实体之内：", "在实体旁边：", "其他位置："),
+}
+
+
+def example_block(examples: Column, token: Column, default_type: Column, lang: str = "en") -> Column:
+    """Examples of a token by class (``array<struct<cls, rank, text, name, type>>``), each text with the entity it is about.
+
+    An example inside an entity without a name is about the token itself; one beside an entity without a name, and one elsewhere, about none.
+    """
+    w = WORDS[lang]
+
+    def shown(e: Column) -> Column:
+        own = F.concat(F.lit('{"name": '), quoted(F.coalesce(e["name"], token)), F.lit(', "type": '), quoted(F.coalesce(F.nullif(e["type"], F.lit("")), default_type)), F.lit("}"))
+        out = F.when((e["cls"] == "entity") | ((e["cls"] == "context") & e["name"].isNotNull()), own).otherwise("{}")
+        return F.concat(F.lit(f"{w['in']}: "), e["text"], F.lit(f"\n{w['out']}: "), out)
+
+    def of(cls: str) -> Column:
+        return F.transform(F.filter(F.array_sort(examples), lambda e: e["cls"] == cls), shown)
+
+    parts = [x for head, cls in zip(EXAMPLES[lang], ("entity", "context", "other"), strict=True) for x in (F.array(F.lit(head)), of(cls))]
+    return F.array_join(F.concat(*parts), "\n")
+
+
 def cache_key(model: str, prompt: Column, temperature: float = 0.0, max_tokens: int = 1024, extra: str = "{}") -> Column:
     """SHA-256 of the canonical request."""
     return F.sha2(F.concat(F.lit(f'{{"extra_body": {extra}, "max_tokens": {max_tokens}, "messages": [{{"content": '), quoted(prompt), F.lit(f', "role": "user"}}], "model": "{model}", "temperature": {temperature}}}')), 256)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.parse import boundary_decision, reflected_entities
-from tessera.functions.prompts import entities_json, quoted, types_phrase
+from tessera.functions.prompts import entities_json, example_block, list_repr, quoted, token_stat_json, types_phrase
 from tessera.functions.spans import SPAN, char_level, joined, name_units, occurrences, once, resolved
 from tessera.operators import triggers as T
 from tessera.plans.config import Settings
@@ -33,16 +33,35 @@ def _prompt(kind: str, text: Column, candidates: Column, types: Column) -> Colum
     return F.concat_ws("\n\n", F.concat(F.lit("Text: "), text), F.concat(F.lit("Candidates: "), F.array_join(F.transform(candidates, quoted), ", ")), F.concat(F.lit(ask + " "), types_phrase(types, "en"), F.lit("?")))
 
 
-def add_pass(state: DataFrame, stats: DataFrame, kind: str, responder: Responder, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def evidence(hits: DataFrame, units: DataFrame, stats: DataFrame, library: DataFrame, kind: str, settings: Settings, lang: str = "en") -> DataFrame:
+    """``did, evidence``: for each trigger of a record its counts and examples, in order of position, as text.
+
+    For unseen triggers these are the entity examples of the seen units around them, for the others the trigger's own examples of each class.
+    """
+    none = F.lit("X")
+    if kind == "unseen":
+        near = T.neighbor_examples(units, hits, library, settings.C, settings.M).where("text is not null")
+        each = near.groupBy("did", "pos").agg(F.collect_list(F.struct(F.lit("entity").alias("cls"), "rank", "text", "name", "type")).alias("x"), F.array_sort(F.collect_set("neighbor")).alias("around"))
+        text = each.select("did", "pos", F.concat(F.lit("Around: "), list_repr(F.col("around")), F.lit("\n"), example_block(F.col("x"), F.get("around", F.lit(0)), none, lang)).alias("t"))
+    else:
+        own = T.example_buckets(hits.join(units.select("did", "pos", "dataset"), ["did", "pos"]), library, settings.M)
+        each = own.groupBy("did", "pos", "token").agg(F.collect_list(F.struct("cls", "rank", "text", "name", "type")).alias("x")).join(units.select("did", "pos", "n_e", "n_c", "n_o"), ["did", "pos"])
+        text = each.select("did", "pos", F.concat(token_stat_json(F.col("n_e"), F.col("n_c"), F.col("n_o")), F.lit("\n"), example_block(F.col("x"), F.col("token"), none, lang)).alias("t"))
+    return text.groupBy("did").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda r: r["t"]), "\n\n").alias("evidence"))
+
+
+def add_pass(state: DataFrame, stats: DataFrame, kind: str, responder: Responder, settings: Settings, library: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new state, trace) of the unseen or the missed-entity pass: one question per record with triggers; only additions.
 
     ``state``: ``dataset, did, units, text, types, spans``. A returned name becomes its first occurrence that covers a trigger, else its first; spans already
-    there, type included, aren't added again.
+    there, type included, aren't added again. With a ``library`` the question shows counts and examples of the triggers.
     """
     units = T.annotated(state, stats)
     hits = T.unseen_triggers(units, settings.C, settings.surround) if kind == "unseen" else T.fn_triggers(units, settings.theta_fn)
     asked = hits.groupBy("did").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x")).select("did", F.col("x.pos").alias("anchors"), F.col("x.token").alias("tokens"))
     rows = state.join(asked, "did").withColumn("prompt", _prompt(kind, F.col("text"), F.col("tokens"), F.col("types")))
+    if library is not None:
+        rows = rows.join(evidence(hits, units, stats, library, kind, settings), "did", "left").withColumn("prompt", F.concat_ws("\n\n", "prompt", "evidence")).drop("evidence")
     items = responder(rows, kind).select("dataset", "did", "units", "types", "spans", "anchors", F.posexplode(reflected_entities(F.col("answer"))).alias("place", "i"))
     named = once(once(items, target=name_units(F.col("i.name"), char_level(F.col("dataset")))), occ=occurrences(F.col("units"), F.col("target")))
     etype = F.when(F.col("i.type") == "", F.get("types", F.lit(0))).otherwise(F.col("i.type"))
@@ -55,7 +74,7 @@ def add_pass(state: DataFrame, stats: DataFrame, kind: str, responder: Responder
     return new, trace
 
 
-def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, settings: Settings, library: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new state, trace) of the edge pass: one question per span with triggers, all computed on the spans that came in.
 
     An empty object deletes the span; a changed name replaces it by that name's occurrence over the old span, if there is one; the same
@@ -67,6 +86,9 @@ def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, sett
     rows = rows.withColumn("name", joined(F.col("units"), F.col("start"), F.col("end"), char_level(F.col("dataset"))))
     rows = rows.withColumn("new_end", F.when(F.array_contains("doubt", F.col("end") - 1), F.col("end") - 1).otherwise(F.col("end")))
     rows = rows.withColumn("new_name", joined(F.col("units"), F.col("start"), F.col("new_end"), char_level(F.col("dataset")))).withColumn("prompt", _prompt("boundary", F.col("text"), F.col("tokens"), F.col("types")))
+    if library is not None:
+        proof = evidence(hits.select("did", "pos", "token").distinct(), T.annotated(state, stats), stats, library, "boundary", settings)
+        rows = rows.join(proof, "did", "left").withColumn("prompt", F.concat_ws("\n\n", "prompt", "evidence")).drop("evidence")
     read = once(responder(rows, "boundary"), d=boundary_decision(F.col("answer")))
     etype = F.when(F.col("d.type") == "", F.col("type")).otherwise(F.col("d.type"))
     read = once(once(read, target=F.coalesce(name_units(F.col("d.name"), char_level(F.col("dataset"))), F.array().cast("array<string>"))), occ=occurrences(F.col("units"), F.col("target")))
@@ -80,7 +102,7 @@ def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, sett
     return new, trace
 
 
-def reflect(state: DataFrame, stats: DataFrame, responder: Responder = mock_responder, settings: Settings | None = None, between: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
+def reflect(state: DataFrame, stats: DataFrame, responder: Responder = mock_responder, settings: Settings | None = None, between: Callable[[DataFrame], DataFrame] = cut, library: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(final state, trace): the selected passes in fixed order, each on the spans of the one before; spans end up distinct.
 
     Each pass uses its state several times, so ``between`` writes it once before the passes and after each of them.
@@ -89,7 +111,7 @@ def reflect(state: DataFrame, stats: DataFrame, responder: Responder = mock_resp
     state, stats = between(state), between(stats)
     trace = None
     for kind in settings.ordered():
-        state, own = boundary_pass(state, stats, responder, settings) if kind == "boundary" else add_pass(state, stats, kind, responder, settings)
+        state, own = boundary_pass(state, stats, responder, settings, library) if kind == "boundary" else add_pass(state, stats, kind, responder, settings, library)
         state = between(state)
         trace = own if trace is None else trace.unionByName(own)
     return state.withColumn("spans", F.array_distinct("spans")), trace
@@ -115,3 +137,8 @@ def wrong_adds(trace: DataFrame, gold: DataFrame) -> DataFrame:
     wrong = trace.where("action = 'add'").join(gold, "did", "left").where(~F.coalesce(F.array_contains("gold", F.col("span")), F.lit(False)))
     over = F.size(F.filter(F.coalesce("gold", F.array().cast(f"array<{SPAN}>")), lambda g: (g["start"] < F.col("span.end")) & (g["end"] > F.col("span.start"))))
     return wrong.select("did", "pass", "token", F.col("span.start").alias("start"), F.col("span.end").alias("end"), over.alias("overlapping"), (over > 0).alias("boundary_error"))
+
+
+def sample_wrong_adds(rows: DataFrame, n: int = 25) -> DataFrame:
+    """The first ``n`` wrong additions, for a look at them."""
+    return rows.orderBy("did", "pass", "start", "end").limit(n)

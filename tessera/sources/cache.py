@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import cut
+
 
 def hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests (``key``) with the cached ``text`` and token counts; ``cached`` tells whether there was one. The last write of a key counts."""
@@ -56,6 +58,51 @@ def respond(requests: DataFrame, client: Callable[[], Callable[[str], str]]) ->
     return requests.select("key", "prompt").mapInPandas(run, "key string, text string, error string")
 
 
+def http_client(url: str, model: str, api_key: str = "", temperature: float = 0.0, max_tokens: int = 1024, timeout: float = 60.0) -> Callable[[], Callable[[str], str]]:
+    """A client factory for ``respond``: chat completions over HTTP, one request a prompt, tried again when the server is busy or away."""
+
+    def make() -> Callable[[str], str]:
+        import urllib.error
+        import urllib.request
+
+        def ask(prompt: str) -> str:
+            body = {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": temperature, "max_tokens": max_tokens}
+            head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
+            request = urllib.request.Request(url, json.dumps(body).encode(), head)
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as answer:
+                    return json.load(answer)["choices"][0]["message"]["content"]
+            except urllib.error.HTTPError as e:
+                if e.code == 429 or e.code >= 500:
+                    raise ConnectionError(f"HTTP {e.code}") from e
+                raise
+            except urllib.error.URLError as e:
+                raise ConnectionError(str(e.reason)) from e
+
+        return with_retries(ask)
+
+    return make
+
+
+def answered(requests: DataFrame, cache_path: str, client: Callable[[], Callable[[str], str]], run_id: int = 0) -> DataFrame:
+    """Requests (``key, prompt``) with their answers: misses are asked once each and appended to the cache, then all are read from it.
+
+    A failed request stops the run after the others are stored, so that running again asks only for the rest.
+    """
+    spark = requests.sparkSession
+    schema = "key string, text string, prompt_tokens int, completion_tokens int, run_id int, written_at timestamp"
+    try:
+        known = spark.read.schema(schema).parquet(cache_path)
+        known.limit(1).count()
+    except Exception:  # noqa: BLE001
+        known = spark.createDataFrame([], schema)
+    fresh = cut(respond(misses(requests, known), client))
+    done = fresh.where("error is null").select("key", "text", F.lit(None).cast("int").alias("prompt_tokens"), F.lit(None).cast("int").alias("completion_tokens"), F.lit(run_id).alias("run_id"), F.current_timestamp().alias("written_at"))
+    done.write.mode("append").parquet(cache_path)
+    guard(fresh)
+    return hits(requests, spark.read.schema(schema).parquet(cache_path))
+
+
 def guard(answers: DataFrame) -> DataFrame:
     """The answers, or an error if any of them failed: results are evaluated whole or not at all."""
     if failed := answers.where("error is not null").count():

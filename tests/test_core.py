@@ -330,3 +330,68 @@ def test_dirty_records(spark, make_docs):
     assert len(r) == 1 and [(e.start, e.end, e.type, e.ent_ord) for e in r[0].entities] == [(0, 1, "", 2)]
     empty = corpus.corpus(d.limit(0))
     assert stats.token_stats(stats.classified(empty)).count() == 0 and align.round_trip(empty).count() == 0
+
+
+def test_evidence_in_prompts(spark, make_docs):
+    train = corpus.corpus(make_docs(*[(f"t{i}", "a lung cancer case", [(1, 3, "Disease")]) for i in range(3)]))
+    st, lib, seen = stats.token_stats(stats.classified(train)), stats.span_library(train), []
+
+    def responder(rows, kind):
+        seen.extend((kind, r.prompt) for r in rows.select("prompt").collect())
+        return reflect.mock_responder(rows, kind)
+
+    s = state_of(spark, make_docs(("q", "new lung cancer found a", [])), {"q": [(3, 5, "D")]})
+    plain, _ = reflect.reflect(s, st, reflect.mock_responder)
+    shown, _ = reflect.reflect(s, st, responder, library=lib)
+    assert sorted(map(tuple, plain.first().spans)) == sorted(map(tuple, shown.first().spans))
+    text = dict(seen)
+    assert "num_occurrences_as_entity" in text["fn"] and 'Output: {"name": "lung cancer", "type": "Disease"}' in text["fn"] and "Around: ['cancer', 'lung']" in text["unseen"]
+
+
+def test_label_maps():
+    from tessera.plans import config
+
+    ids = config.label_ids(config.CMEEE_TYPES)
+    assert ids["O"] == 0 and ids["B-bod"] == 1 and ids["I-sym"] == 18 and config.label_ids(config.GENIA_LABEL_ORDER)["I-cell_type"] == 10
+    assert config.type_ids(config.CMEEE_TYPE_ORDER)["dep"] == 8 and config.stored_types(config.CMEEE_DISPLAY)["身体部位"] == "bod"
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append(body["messages"][0]["content"])
+            self.send_response(503 if len(asked) == 1 else 200)
+            self.end_headers()
+            if len(asked) > 1:
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": "answer to " + asked[-1]}}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    q = spark.createDataFrame([("a", "x"), ("a", "x")], "key string, prompt string").coalesce(1)
+    for _ in range(2):
+        r = cache.answered(q, str(tmp_path / "c"), cache.http_client(f"http://127.0.0.1:{server.server_port}", "m")).collect()
+        assert [x.text for x in r] == ["answer to x"] * 2
+    server.shutdown()
+    assert asked == ["x", "x"]
+    v = embed.cached_vectors(q, "prompt", str(tmp_path / "v"), lambda: lambda xs: [[1.0, 2.0] for _ in xs])
+    again = embed.cached_vectors(q.select(F.lit("y").alias("prompt")).union(q.select("prompt")), "prompt", str(tmp_path / "v"), lambda: lambda xs: [[3.0, 4.0] for _ in xs])
+    assert v.count() == 1 and {r.text: r.vec for r in again.collect()} == {"x": [1.0, 2.0], "y": [3.0, 4.0]}
+
+
+def test_command_line(spark, tmp_path, make_docs):
+    from tessera.__main__ import main
+
+    make_docs(("p0", "a cancer here", [(1, 2, "Disease")]), ("p1", "the cancer spread", [(1, 2, "Disease")]), ("q", "the cancer spread", [(1, 2, "Disease")], "test")).write.parquet(str(tmp_path / "docs"))
+    common = [str(tmp_path / "docs"), "--dataset", "ncbi", "--out", str(tmp_path)]
+    assert main([*common, "--selfcheck"], spark)["incomplete"] == 0 and main([*common, "--validate-stats"], spark)["cancer"][0] == 1.0
+    r = main([*common, "--method", "m2", "--theta-fn", "0.9"], spark)
+    assert r["overall"][0]["f1"] == 1.0 and (tmp_path / "ncbi_m2_test_n1_seed13_theta0.9.json").exists()
