@@ -24,9 +24,13 @@ def types_phrase(types: Column, lang: str) -> Column:
     return F.array_join(F.transform(types, quoted), "、" if lang == "zh" else ", ")
 
 
+# Fixed value: the format in which a token's statistics are shown.
+TOKEN_STAT = '{"num_occurrences_as_entity": %d, "num_occurrences_as_context_tokens": %d, "num_occurrences_as_other_tokens": %d, "entity_vs_context_count": "%d vs %d", "entity_vs_non_entity_count": "%d vs %d"}'
+
+
 def token_stat_json(n_e: Column, n_c: Column, n_o: Column) -> Column:
     """Counts of a token by class, and the two comparisons a reader needs."""
-    return F.format_string('{"num_occurrences_as_entity": %d, "num_occurrences_as_context_tokens": %d, "num_occurrences_as_other_tokens": %d, "entity_vs_context_count": "%d vs %d", "entity_vs_non_entity_count": "%d vs %d"}', n_e, n_c, n_o, n_e, n_c, n_e, n_c + n_o)
+    return F.format_string(TOKEN_STAT, n_e, n_c, n_o, n_e, n_c, n_e, n_c + n_o)
 
 
 def list_repr(items: Column) -> Column:

@@ -61,11 +61,15 @@ def nested_recall(pairs: DataFrame, *by: str) -> DataFrame:
 
 def error_rates(pairs: DataFrame, *by: str) -> DataFrame:
     """Misses of inner and outer spans, and containing pairs recovered on both sides, with their totals."""
+    one = [] if by else ["_one"]  # without groups both sides are one row, joined by a constant
+    if one:
+        pairs = pairs.withColumn("_one", F.lit(1))
+    keys = (*by, *one)
     sets = _sets(pairs)
     both = F.flatten(F.transform("gold", lambda a: F.transform(F.filter("gold", lambda b: strictly_contains(b, a)), lambda b: F.array_contains("p", a) & F.array_contains("p", b))))
-    counted = sets.select(*by, both.alias("b")).select(*by, F.size("b").alias("pairs"), F.size(F.filter("b", lambda x: x)).alias("both")).groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.sum("both").alias("pairs_recovered"))
-    roles = nesting_roles(pairs, *by).groupBy(*by).agg(F.count_if(F.col("inner") & ~F.col("recovered")).alias("inner_missed"), F.count_if("inner").alias("inner"), F.count_if(F.col("outer") & ~F.col("recovered")).alias("outer_missed"), F.count_if("outer").alias("outer"))
-    return roles.join(counted, list(by)) if by else roles.crossJoin(counted)  # one row each
+    counted = sets.select(*keys, both.alias("b")).select(*keys, F.size("b").alias("pairs"), F.size(F.filter("b", lambda x: x)).alias("both")).groupBy(*keys).agg(F.sum("pairs").alias("pairs"), F.sum("both").alias("pairs_recovered"))
+    roles = nesting_roles(pairs, *keys).groupBy(*keys).agg(F.count_if(F.col("inner") & ~F.col("recovered")).alias("inner_missed"), F.count_if("inner").alias("inner"), F.count_if(F.col("outer") & ~F.col("recovered")).alias("outer_missed"), F.count_if("outer").alias("outer"))
+    return roles.join(counted, [*by, *one]).drop(*one)
 
 
 def depth_recall(pairs: DataFrame, *by: str) -> DataFrame:

@@ -83,6 +83,19 @@ def save(stats: DataFrame, library: DataFrame, path: str, C: int = 2, cap: int =
     stats.sparkSession.createDataFrame([(json.dumps({"C": C, "span_cap": cap}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
 
+def json_rows(stats: DataFrame, library: DataFrame) -> DataFrame:
+    """One row per token for ``write.json``: its counts by class and, by class, its examples in order."""
+    shown = library.groupBy("dataset", "token", "cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text", "name", "type"))), lambda e: F.struct(e["text"].alias("text"), e["name"].alias("name"), e["type"].alias("type"))).alias("x"))
+    spans = shown.groupBy("dataset", "token").agg(F.map_from_entries(F.collect_list(F.struct("cls", "x"))).alias("spans"))
+    counts = F.struct(F.col("n_e").alias("entity"), F.col("n_c").alias("context"), F.col("n_o").alias("other"))
+    return stats.select("dataset", "token", counts.alias("counts")).join(spans, ["dataset", "token"], "left")
+
+
+def from_json_rows(rows: DataFrame) -> DataFrame:
+    """The count table of what ``json_rows`` gave; missing classes are 0."""
+    return rows.select("dataset", "token", *[F.coalesce(F.col(f"counts.{c}"), F.lit(0)).cast("bigint").alias(n) for c, n in (("entity", "n_e"), ("context", "n_c"), ("other", "n_o"))])
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
     """What ``save`` wrote; missing counts are 0 and a missing cap is 50."""
     counts = spark.read.parquet(f"{path}/counts").fillna(0, ["n_e", "n_c", "n_o"])

@@ -69,6 +69,9 @@ def test_stats_round_trip(spark, make_docs, tmp_path):
     stats.save(t, stats.span_library(r), str(tmp_path / "s"))
     counts, lib, settings = stats.load(spark, str(tmp_path / "s"))
     assert sorted(counts.collect()) == sorted(t.collect()) and lib.count() == 3 and settings == {"C": 2, "span_cap": 50}
+    stats.json_rows(t, lib).write.json(str(tmp_path / "j"))
+    back = spark.read.json(str(tmp_path / "j"))
+    assert sorted(stats.from_json_rows(back).collect()) == sorted(t.collect()) and back.where("token = 'cancer'").first().spans.entity[0].name == "cancer"
 
 
 def naive_bio(tags):
@@ -224,6 +227,8 @@ def test_evaluation(spark):
     assert types == {"X": (0, 0, 2), "Y": (1, 0, 0), "Z": (0, 1, 0)}
     e = evaluate.error_rates(p).first()
     assert (e.inner_missed, e.inner, e.outer_missed, e.outer, e.pairs, e.pairs_recovered) == (0, 1, 1, 1, 1, 0)
+    e = evaluate.error_rates(p, "did").where("did = 'a'").first()
+    assert (e.inner, e.outer, e.pairs) == (1, 1, 1)
     assert {r.depth: (r.recovered, r.total) for r in evaluate.depth_recall(p).collect()} == {1: (0, 2), 2: (1, 1)}
     assert {r.subset: (r.recovered, r.total) for r in evaluate.nested_recall(p).collect()} == {"nested": (1, 2), "flat": (0, 1)}
     with pytest.raises(ValueError):
