@@ -70,23 +70,27 @@ def schedule(plans: DataFrame, slots: int, chunk: int = 65_536, max_plan_rows: i
     lines: dict = {}
     for r in bounded_rows(plans.where("plan_id is not null and source is not null and weight_pm > 0").dropDuplicates(["plan_id", "source"]), max_plan_rows, "mix plans"):
         lines.setdefault(r.plan_id, []).append((r.source, r.weight_pm))
-    arcs = []
+    if not lines:
+        return spark.createDataFrame([], "plan_id int, slot bigint, source string, turn bigint")
+    rings = []
     for plan, own in lines.items():
-        total, at = sum(w for _, w in own), 0
-        for source, w in sorted(own):
-            arcs.append((plan, source, at / total, (at + w) / total if at + w < total else 2.0))
+        total, at, bounds = sum(w for _, w in own), 0, []
+        own = sorted(own)
+        for _, w in own[:-1]:
             at += w
-    arc = spark.createDataFrame(arcs, "plan_id int, source string, lo double, hi double")
+            bounds.append(at / total)
+        rings.append(F.struct(F.lit(plan).cast("int").alias("plan_id"), F.array(*map(F.lit, bounds)).cast("array<double>").alias("bounds"), F.array(*[F.lit(x) for x, _ in own]).alias("sources")))
     k = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id + 0.5D) * {GOLDEN}D - floor((id + 0.5D) * {GOLDEN}D)").alias("u"), F.floor(F.col("id") / chunk).alias("chunk"))
-    hit = k.join(F.broadcast(arc), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))  # each slot meets one line of each plan
+    each = k.select("slot", "u", "chunk", F.explode(F.array(*rings)).alias("p"))
+    hit = each.select("slot", "chunk", "p.plan_id", F.get("p.sources", F.size(F.filter("p.bounds", lambda b: b <= F.col("u")))).alias("source"))
     per = hit.groupBy("plan_id", "source", "chunk").agg(F.count("*").alias("n"))
     before = per.select("plan_id", "source", "chunk", (F.sum("n").over(W.partitionBy("plan_id", "source").orderBy("chunk")) - F.col("n")).alias("base"))
     turn = F.row_number().over(W.partitionBy("plan_id", "source", "chunk").orderBy("slot")) - 1
     return hit.withColumn("t", turn).join(before, ["plan_id", "source", "chunk"]).select("plan_id", "slot", "source", (F.col("base") + F.col("t")).alias("turn"))
 
 
-def mix(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed: int = 0, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sizes, the blocks of each source, the filled slots ``plan_id, slot, source, block, epoch, tokens``).
+def mix(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed: int = 0, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(sizes, the blocks of each source, the filled slots ``plan_id, slot, source, block, epoch, tokens``, all tokens).
 
     A source gives its blocks in turn, again from the first when all are used, but no more than ``max_repeats``
     times; later slots of that source stay unfilled with a null block and 0 tokens.
@@ -101,7 +105,7 @@ def mix(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed: int
     open_ = F.col("turn") < F.col("repeats") * F.coalesce("n_blocks", F.lit(0))
     placed = slots.select("plan_id", "slot", "source", F.when(open_, F.pmod("turn", "n_blocks")).alias("block"), F.when(open_, F.floor(F.col("turn") / F.col("n_blocks"))).alias("epoch"))
     filled = placed.join(per_block, ["source", "block"], "left").select("plan_id", "slot", "source", "block", "epoch", F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    return sizes, cuts, filled
+    return sizes, cuts, filled, total
 
 
 def report(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -110,12 +114,11 @@ def report(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed:
     ``share`` is the actual share of the mixed tokens; ``short`` is checked on exact sizes: the source, repeated as
     often as it may be, is smaller than its weight of all documents (those without a source or plan line included).
     """
-    sizes, _, filled = mix(docs, plans, block_tokens, seed, tokenizer)
+    sizes, _, filled, total = mix(docs, plans, block_tokens, seed, tokenizer)
     own = sizes.groupBy("source").agg(F.sum("tokens").alias("size"))
-    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     got = filled.groupBy("plan_id", "source").agg(F.count("*").alias("slots"), F.count_if(F.col("block").isNull()).alias("unfilled"), F.sum("tokens").alias("tokens"))
     lines = plans.where("plan_id is not null and source is not null").dropDuplicates(["plan_id", "source"]).select("plan_id", "source", F.coalesce("weight_pm", F.lit(0)).alias("weight_pm"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
-    joined = lines.join(got, ["plan_id", "source"], "left").join(own, "source", "left").crossJoin(F.broadcast(total))  # one row: the total
+    joined = lines.join(got, ["plan_id", "source"], "left").join(own, "source", "left").withColumn("total", F.lit(total).cast("bigint"))
     size = F.coalesce("size", F.lit(0))
     return joined.select(
         "plan_id", "source", "weight_pm", "max_repeats", size.alias("size"), "total", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("unfilled", F.lit(0)).alias("unfilled"),

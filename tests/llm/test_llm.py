@@ -258,7 +258,7 @@ def test_mixing(spark):
     plans = spark.createDataFrame([(1, "a", 600, 1), (1, "b", 390, 4), (1, "c", 10, 3), (2, "a", 100, 1), (2, "c", 900, 2), (3, None, 5, 1), (4, "zz", 1000, 2)], "plan_id int, source string, weight_pm int, max_repeats int")
     r = {(x.plan_id, x.source): x for x in mixing.report(d, plans, block_tokens=200).collect()}
     assert abs(r[1, "a"].share - 0.6) < 0.02 and abs(r[1, "b"].share - 0.39) < 0.02 and not r[1, "a"].short and r[2, "c"].short and r[4, "zz"].short and r[4, "zz"].tokens == 0
-    sizes, cuts, filled = mixing.mix(d, plans, block_tokens=200)
+    sizes, cuts, filled, _ = mixing.mix(d, plans, block_tokens=200)
     assert cuts.agg(F.sum("tokens")).first()[0] == sizes.where("source is not null").agg(F.sum("tokens")).first()[0]
     assert cuts.groupBy("doc_id").count().where("count > 1").count() == 0
     use = filled.where("block is not null").groupBy("plan_id", "source", "block").count()
