@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers once a session, unless ``PYTHONPATH`` already gives it to them."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    folder = tempfile.mkdtemp(prefix="tessera-ship-")  # of the driver; Spark copies the file to the workers
+    archive = Path(folder, "tessera.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "tessera").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
