@@ -66,15 +66,19 @@ def planes() -> range:
 
 @cache
 def printed_rows() -> list[tuple[str, list[tuple[str, int]]]]:
-    """(code point, [(replacement code point, its combining class)]) for each code point that is replaced or combines."""
+    """(code point, [(replacement code point, its combining class)]) for each code point that is replaced or combines.
+
+    Hangul vowels and finals, of class 0, are given as 1: they too call for recomposing.
+    """
     rows = []
     for cp in [*planes(), *range(0x2F800, 0x2FA1E), *range(0xE0001, 0xE0080), *range(0xE0100, 0xE01F0)]:
         if 0xD800 <= cp <= 0xF8FF and not (0xF900 <= cp):
             continue  # surrogates and private use
         ch = chr(cp)
         out = printed(ch)
-        if out != ch or ud.combining(ch):
-            rows.append((ch, [(c, ud.combining(c)) for c in out]))
+        joins = 0x1161 <= cp <= 0x1175 or 0x11A8 <= cp <= 0x11C2  # vowels and finals of Hangul make syllables with what is before them
+        if out != ch or ud.combining(ch) or joins:
+            rows.append((ch, [(c, ud.combining(c) or int(joins)) for c in out]))
     return rows
 
 

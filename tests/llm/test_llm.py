@@ -26,7 +26,7 @@ def printed(t):
 
 def test_visual_forms(spark):
     rng = random.Random(1)
-    alphabet = "aeoABx,.-  é́̈​­ＡｅﬁⅡаеоΑΖ−‑ ⼩小²①가ᄀ"
+    alphabet = "aeoABx,.-  é́̈​­ＡｅﬁⅡаеоΑΖ−‑ ⼩小²①가각"
     texts = ["", "​", "plain", "ẹ́", "ẹ́", "ｆｕｌｌ　ｗｉｄｔｈ", "x" * 20_000 + "é"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25))) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "did int, text string")
     got = {r.did: r.form for r in forms.visual_forms(df, ["did"], "text").collect()}
