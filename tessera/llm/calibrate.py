@@ -50,7 +50,7 @@ def plan_lines(plans: DataFrame, max_rows: int = 100_000) -> dict:
 
 
 def _moments(patterns: DataFrame, plans: dict, duals: dict, base: dict) -> dict:
-    """plan -> (sum of p x, sum of p x x') over all records; partial sums in numpy, added up by group."""
+    """plan -> (sum of p x, sum of p x x', value of the dual) over all records; partial sums in numpy, added up by group."""
     spec = {p: (v["dataset"], v["codes"]) for p, v in plans.items()}
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,42 +63,54 @@ def _moments(patterns: DataFrame, plans: dict, duals: dict, base: dict) -> dict:
                     if of != ds:
                         continue
                     x = np.array([[m.get(c, 0) for c in codes] for m in maps], float)
-                    q = base[p] * np.exp(np.clip(x @ np.array(duals[p]), -30, 30))
+                    u = np.clip(x @ np.array(duals[p]), -30, 30)
+                    q = base[p] * np.exp(u)
                     free = q < 1
+                    dual = (w * np.where(free, q, 1 + u + np.log(base[p]))).sum()  # convex, its slope is the capped probability
                     q = np.minimum(q, 1)
                     g = (x * (w * q)[:, None]).sum(0)
                     h = (x * (w * q * free)[:, None]).T @ x
-                    sums[p] = sums.get(p, 0) + np.concatenate([g, h.ravel()])
+                    sums[p] = sums.get(p, 0) + np.concatenate([g, h.ravel(), [dual]])
         for p, v in sums.items():
             yield pd.DataFrame({"plan_id": [p] * len(v), "i": range(len(v)), "v": v})
 
-    got: dict = {p: np.zeros(len(v["codes"]) * (1 + len(v["codes"]))) for p, v in plans.items()}
+    got: dict = {p: np.zeros(len(v["codes"]) * (1 + len(v["codes"])) + 1) for p, v in plans.items()}
     for r in patterns.mapInPandas(part, "plan_id int, i int, v double").groupBy("plan_id", "i").agg(F.sum("v").alias("v")).collect():
         got[r.plan_id][r.i] = r.v
-    return {p: (v[: len(plans[p]["codes"])], v[len(plans[p]["codes"]) :].reshape(len(plans[p]["codes"]), -1)) for p, v in got.items()}
+    return {p: (v[: len(plans[p]["codes"])], v[len(plans[p]["codes"]) : -1].reshape(len(plans[p]["codes"]), -1), v[-1]) for p, v in got.items()}
 
 
 def calibrate(patterns: DataFrame, plans: dict, targets: dict, rounds: int = 25, tolerance: float = 1e-3) -> tuple[dict, dict]:
     """Duals and base rate of each plan: inclusion probability min(1, base * exp(dual . x)) meets the targets.
 
-    Newton steps on the dual of exponential tilting; each round is one distributed aggregation of the moments over
-    distinct count patterns. Targets beyond reach pull their records to probability 1.
+    Newton steps on the dual of exponential tilting, damped more after a step that doesn't lower it and less after one that does;
+    each round is one distributed aggregation of the moments over distinct count patterns. Targets beyond reach pull their
+    records to probability 1.
     """
-    base = {p: max(v["fraction"] / 1000, 1e-6) for p, v in plans.items()}
-    duals = {p: np.zeros(len(v["codes"])) for p, v in plans.items()}
+    base = {p: min(max(v["fraction"] / 1000, 1e-6), 1.0) for p, v in plans.items()}
+    trial = {p: np.zeros(len(v["codes"])) for p, v in plans.items()}
+    best: dict = {}
+    damping = dict.fromkeys(plans, 1e-3)
     for _ in range(rounds):
         done = True
-        for p, (g, h) in _moments(patterns, plans, duals, base).items():
+        for p, (g, h, value) in _moments(patterns, plans, trial, base).items():
+            value -= float(trial[p] @ targets[p])
+            if p not in best or value < best[p][0]:
+                best[p] = (value, trial[p], g, h)
+                damping[p] = max(damping[p] / 4, 1e-6)
+            else:
+                damping[p] *= 8
+            _, at, g, h = best[p]
             gap = targets[p] - g
-            if len(gap) == 0 or np.all(np.abs(gap) <= tolerance * np.maximum(targets[p], 1)):
+            if damping[p] > 1e6 or np.all(np.abs(gap) <= tolerance * np.maximum(targets[p], 1)):
+                trial[p] = at
                 continue
             done = False
-            ridge = 1e-6 * (np.trace(h) / max(len(gap), 1) + 1)
-            step = np.linalg.solve(h + ridge * np.eye(len(gap)), gap)
-            duals[p] = np.clip(duals[p] + np.clip(step, -1.5, 1.5), -12, 12)
+            firm = h + damping[p] * np.diag(np.diag(h)) + 1e-6 * (np.trace(h) / len(gap) + 1) * np.eye(len(gap))
+            trial[p] = np.clip(at + np.clip(np.linalg.solve(firm, gap), -3, 3), -15, 15)
         if done:
             break
-    return duals, base
+    return {p: best[p][1] for p in plans}, base
 
 
 def _pivotal(rows: list[tuple[str, float]], rng: random.Random) -> tuple[list[str], tuple[str, float] | None]:
@@ -171,7 +183,7 @@ def sample(docs: DataFrame, entity_types: DataFrame, sample_plans: DataFrame, se
     exact, targets = {}, {}
     for p, v in plans.items():
         exact[p] = [s * v["fraction"] * totals.get(v["dataset"], 0) for s in v["shares"]]  # millionths of mentions
-        targets[p] = np.array([min(t / 1e6, per_code.get((v["dataset"], c), 0)) for t, c in zip(exact[p], v["codes"], strict=True)])
+        targets[p] = np.array([min(t / 1e6, 0.995 * per_code.get((v["dataset"], c), 0)) for t, c in zip(exact[p], v["codes"], strict=True)])
     duals, base = calibrate(cut(patterns), plans, targets)
     lam = spark.createDataFrame([(p, v["dataset"], v["codes"], [float(x) for x in duals[p]], float(base[p])) for p, v in plans.items()], "plan_id int, dataset string, codes array<string>, lam array<double>, base double")
     tilt = F.aggregate(F.zip_with("codes", "lam", lambda c, m: m * F.coalesce(F.try_element_at("code_n", c), F.lit(0))), F.lit(0.0), lambda a, x: a + x)
