@@ -48,6 +48,7 @@ class ItemIndex(NamedTuple):
     starts: np.ndarray
     item: np.ndarray
     pos: np.ndarray
+    word: np.ndarray
     ids: list
     words: list
     least: np.ndarray
@@ -59,7 +60,7 @@ def item_index(items: list[tuple[int, str]], share: float, edits: float, q: int,
 
     Each changed word of mean length u spoils at most u + q - 1 grams and moves the diagonal by at most u.
     """
-    hs, its, ps, ids, words, least, band = [], [], [], [], [], [], []
+    hs, its, ps, ws, ids, words, least, band = [], [], [], [], [], [], [], []
     for item_id, w in items:
         units = w.split(" ") if w else []
         s = w.replace(" ", "")
@@ -73,25 +74,31 @@ def item_index(items: list[tuple[int, str]], share: float, edits: float, q: int,
         band.append(max(8, int(e * mean)))
         hs.append(h)
         ps.append(p)
+        ws.append(word_of(units, p))
         its.append(np.full(len(h), len(ids)))
         ids.append(item_id)
         words.append(units)
     if not ids:
         z = np.zeros(0, np.int64)
-        return ItemIndex(np.zeros(0, np.uint64), np.zeros(1, np.int64), z, z, [], [], z, z)
-    h, it, p = np.concatenate(hs), np.concatenate(its), np.concatenate(ps)
+        return ItemIndex(np.zeros(0, np.uint64), np.zeros(1, np.int64), z, z, z, [], [], z, z)
+    h, it, p, w = np.concatenate(hs), np.concatenate(its), np.concatenate(ps), np.concatenate(ws)
     order = np.argsort(h, kind="stable")
     uniq, first = np.unique(h[order], return_index=True)
-    return ItemIndex(uniq, np.append(first, len(h)), it[order], p[order], ids, words, np.array(least), np.array(band))
+    return ItemIndex(uniq, np.append(first, len(h)), it[order], p[order], w[order], ids, words, np.array(least), np.array(band))
 
 
-def regions(s: str, ix: ItemIndex, q: int, q_han: int) -> list[tuple[int, int, int]]:
-    """(item, first, last character) of each item and band of diagonals whose shared grams reach the item's bound.
+def word_of(units: list[str], at: np.ndarray) -> np.ndarray:
+    """Numbers of the words that the characters ``at`` of the joined words belong to."""
+    return np.searchsorted(np.cumsum([len(u) for u in units]), at, "right")
+
+
+def regions(units: list[str], ix: ItemIndex, q: int, q_han: int) -> list[tuple[int, int, int]]:
+    """(item, lowest, highest diagonal) of each item and band whose shared grams reach the item's bound; diagonals in words.
 
     Bands are two bandwidths wide and begin every bandwidth, so any stretch whose diagonals vary by one
     bandwidth lies in one of them.
     """
-    p, h = gram_hashes(s, q, q_han)
+    p, h = gram_hashes("".join(units), q, q_han)
     if not len(h) or not len(ix.hashes):
         return []
     at = np.minimum(np.searchsorted(ix.hashes, h), len(ix.hashes) - 1)
@@ -108,28 +115,28 @@ def regions(s: str, ix: ItemIndex, q: int, q_han: int) -> list[tuple[int, int, i
     keep = few[item]
     if not keep.any():
         return []
-    item, doc_pos, item_pos = item[keep], doc_pos[keep], ix.pos[entry][keep]
-    slot = (doc_pos - item_pos) // ix.band[item]
+    item, doc_pos, entry = item[keep], doc_pos[keep], entry[keep]
+    slot = (doc_pos - ix.pos[entry]) // ix.band[item]
+    diagonal = word_of(units, doc_pos) - ix.word[entry]
     span = np.int64(1) << np.int64(32)
     out = {}
     for shift in (0, 1):
         key = item.astype(np.int64) * span + (slot - shift + (1 << 30))
         uniq, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         for i in np.flatnonzero(count >= ix.least[(uniq // span)]):
-            where = doc_pos[inverse == i]
+            where = diagonal[inverse == i]
             k, lo, hi = int(uniq[i] // span), int(where.min()), int(where.max())
             old = out.get(k, [])
             out[k] = [*old, (lo, hi)]
     return [(k, lo, hi) for k, v in out.items() for lo, hi in dict.fromkeys(v)]
 
 
-def longest_stretch(item: list[str], doc: list[str], slack: int, penalty: int = 2) -> tuple[int, int]:
-    """(length in the item, edits) of the best local alignment inside a band around the diagonal from either corner.
+def longest_stretch(item: list[str], doc: list[str], lo: int, hi: int, penalty: int = 2) -> tuple[int, int]:
+    """(length in the item, edits) of the best local alignment on the diagonals ``lo`` to ``hi``: number of the document's word less that of the item's.
 
-    A match scores 1, any edit ``-penalty``; the band is as wide as the difference of lengths plus ``slack`` on both sides.
+    A match scores 1, any edit ``-penalty``.
     """
     m, n = len(item), len(doc)
-    lo, hi = min(0, n - m) - slack, max(0, n - m) + slack
     width = hi - lo + 1
     zero = (0, 0, 0)  # score, first item word, edits
     before: list = [zero] * (width + 1)
@@ -185,19 +192,13 @@ def _scan(docs: DataFrame, index, share: float, edits: float, q: int, q_han: int
         for pdf in batches:
             rows = []
             for doc_id, w in zip(pdf["doc_id"], pdf["w"], strict=True):
-                hits = regions(w.replace(" ", ""), ix, q, q_han)
-                if not hits:
-                    continue
                 units = w.split(" ")
-                ends = np.cumsum([len(u) for u in units])
+                hits = regions(units, ix, q, q_han)
                 for k in dict.fromkeys(k for k, _, _ in hits):
                     for _, lo, hi in (h for h in hits if h[0] == k):
                         words = ix.words[k]
                         slack = int(np.ceil(edits * len(words))) + 2
-                        a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(ends, hi, "right")) + 1
-                        reach = len(words) - (b - a)
-                        a, b = max(0, a - max(0, reach) - slack), min(len(units), b + max(0, reach) + slack)
-                        size, wrong = longest_stretch(words, units[a:b], slack)
+                        size, wrong = longest_stretch(words, units, lo - slack, hi + slack)
                         if size >= share * len(words) and wrong <= 2 * edits * size:
                             rows.append((doc_id, ix.ids[k]))
                             break

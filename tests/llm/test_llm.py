@@ -250,6 +250,19 @@ def test_leaks(spark):
     assert leaks.leak_counts(leaks.leaked(d, it), it).count() == len({k for _, k in want})
 
 
+def test_leaks_at_ends_of_documents(spark):
+    rng = random.Random(12)
+    words = lambda c, n: ["".join(rng.choice("abcdefghij") for _ in range(6)) + c for _ in range(n)]
+    item = words("x", 60)
+    parts = {(a, b): item[a:b] for a, b in ((30, 60), (25, 60), (14, 60), (0, 30), (0, 35), (0, 46))}
+    rows = [" ".join(part + words("y", n)) for part in parts.values() for n in (0, 1, 40, 300)]
+    rows += [" ".join(words("y", n) + part) for part in parts.values() for n in (1, 40, 300)]
+    few = [" ".join(x) for x in (item[35:] + words("y", 90), words("y", 90) + item[:25])]
+    d = spark.createDataFrame(list(enumerate(rows + few)), "doc_id bigint, text string")
+    it = spark.createDataFrame([(7, "ncbi", "dev", " ".join(item))], "item_id int, dataset string, split string, text string")
+    assert {tuple(r) for r in leaks.leaked(d, it).collect()} == {(i, 7) for i in range(len(rows))}
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 def test_mixing(spark):
     rng = random.Random(12)
