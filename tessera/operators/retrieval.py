@@ -58,6 +58,80 @@ def with_zero_scores(scores: DataFrame, queries: DataFrame, pool: DataFrame, n:
     return scores.unionByName(fill)
 
 
+def _postings(rows: list) -> tuple:
+    """(ids, number of each token, token, query and weight of each entry by query); numbers begin with the most frequent token."""
+    at: dict = {}
+    token = np.array([at.setdefault(t, len(at)) for r in rows for t in r.tokens], np.int64)
+    rank = np.empty(len(at), np.int64)
+    rank[np.argsort(-np.bincount(token, minlength=len(at)), kind="stable")] = np.arange(len(at))
+    query = np.repeat(np.arange(len(rows)), [len(r.tokens) for r in rows])
+    return np.array([r.did for r in rows], object), {t: int(rank[i]) for t, i in at.items()}, rank[token], query, np.array([w for r in rows for w in r.ws], float)
+
+
+def token_nearest(queries: DataFrame, pool: DataFrame, weights: DataFrame, n: int, block: int = 16_384, step: int = 256, dense: int = 256) -> DataFrame:
+    """``did, pool_did, pool_ord, s_token, rank``: the picks of ``ranked`` and ``with_zero_scores`` on ``token_scores``, for any number of queries.
+
+    Queries go to the tasks in blocks of about ``block``, each a pass over the pool, and a task passes on each of its batches' best ``n``
+    a query, so the pairs that share a token are never shuffled. Weights of the ``dense`` most frequent tokens are summed by a
+    product of matrices, the others entry by entry; sums of whole millionths are exact in either.
+    """
+    n, spark = max(n, 1), queries.sparkSession
+    known = queries.where("dataset is not null").select("dataset", "did", F.explode_outer(F.array_distinct("units")).alias("token")).join(weights, ["dataset", "token"], "left")
+    sides = cut(known.groupBy("dataset", "did").agg(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", F.coalesce("w", F.lit(UNSEEN)).alias("w")))).alias("x")).select("dataset", "did", F.col("x.token").alias("tokens"), F.col("x.w").alias("ws")))
+    blocks = max(1, -(-sides.count() // block))
+    rows = pool.where("dataset is not null").select("dataset", "did", F.coalesce("ord", F.lit(-1)).alias("ord"), "units")
+    best = None
+    for b in range(blocks):
+        by_set: dict = {}
+        for r in sides.where(F.pmod(F.xxhash64("did"), F.lit(blocks)) == b).collect():
+            by_set.setdefault(r.dataset, []).append(r)
+        shared = spark.sparkContext.broadcast({d: _postings(x) for d, x in by_set.items()})
+        part = rows.mapInPandas(_token_scan(shared, n, step, dense), "did string, pool_did string, pool_ord bigint, s_token bigint")
+        best = part if best is None else best.unionByName(part)
+    return ranked(best, "s_token", n)
+
+
+def _token_scan(shared, n: int, step: int, dense: int):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, part in pdf.groupby("dataset"):
+                if name not in shared.value:
+                    continue
+                ids, number, token, query, weight = shared.value[name]
+                part = part.sort_values(["ord", "did"])  # of equal scores the later place wins
+                dids, ords, m = part["did"].to_numpy(), part["ord"].to_numpy(), len(part)
+                found = [[number[t] for t in set(u) if t in number] if u is not None else [] for u in part["units"]]
+                has, place = np.array([t for x in found for t in x], np.int64), np.repeat(np.arange(m), [len(x) for x in found])
+                own = {d: i for i, d in enumerate(dids)}
+                few = has >= dense
+                p = np.zeros((dense, m))
+                p[has[~few], place[~few]] = 1
+                has, place = has[few], place[few]
+                for a in range(0, len(ids), step):
+                    e = slice(*np.searchsorted(query, (a, a + step)))
+                    t, i, w = token[e], query[e] - a, weight[e]
+                    size = min(step, len(ids) - a)
+                    q = np.zeros((size, dense))
+                    q[i[t < dense], t[t < dense]] = w[t < dense]
+                    score = q @ p
+                    by = np.argsort(t, kind="stable")
+                    first, last = np.searchsorted(t, has, "left", by), np.searchsorted(t, has, "right", by)
+                    k = last - first
+                    entry = by[np.repeat(first - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                    np.add.at(score, (i[entry], np.repeat(place, k)), w[entry])
+                    for j, d in enumerate(ids[a : a + size]):
+                        if d in own:
+                            score[j, own[d]] = -1
+                    key = score.astype(np.int64) * m + np.arange(m)
+                    top = np.argpartition(key, m - n, axis=1)[:, m - n :] if m > n else np.broadcast_to(np.arange(m), key.shape)
+                    s = np.take_along_axis(score, top, 1)
+                    keep = s >= 0
+                    j = top[keep]
+                    yield pd.DataFrame({"did": np.repeat(ids[a : a + size], keep.sum(1)), "pool_did": dids[j], "pool_ord": ords[j], "s_token": s[keep].astype(np.int64)})
+
+    return scan
+
+
 def sentence_vectors(records: DataFrame, weights: DataFrame, vector: Column | None = None, dim: int = DIM, max_vocabulary: int = 200_000) -> DataFrame:
     """``dataset, did, ord, vec``: the weighted sum of token vectors over all occurrences, in integers (weights in thousandths).
 

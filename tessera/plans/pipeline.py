@@ -58,25 +58,26 @@ def query_records(records: DataFrame) -> DataFrame:
     return records.where("split in ('dev', 'test') and ord % 20 = 0")
 
 
-def token_picks(records: DataFrame, n: int = 8, queries: DataFrame | None = None) -> DataFrame:
-    q, pool = query_records(records) if queries is None else queries, train(records)
+def token_picks(records: DataFrame, n: int = 8) -> DataFrame:
+    q, pool = query_records(records), train(records)
     scores = cut(retrieval.token_scores(q, pool, cut(stats.weighted(train_stats(records)))))
     return retrieval.ranked(retrieval.with_zero_scores(scores, q, pool, n), "s_token", n)
 
 
 def predict(docs: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(``dataset, did, gold, spans``, trace) for the query records, with a deterministic generator in place of a model.
+    """(``dataset, did, gold, spans``, trace) for all evaluation records, with a deterministic generator in place of a model.
 
     Retrieval gives demonstrations, the generator answers each prompt (here: with the entities of the most similar demonstration that also stand in the sentence), the
-    answer is parsed and aligned, and for method m2 reflected upon. It is one plan: no step collects anything.
+    answer is parsed and aligned, and for method m2 reflected upon. It is one plan; only the retrieval collects the queries' tokens, in blocks.
     """
     records = corpus(docs)
-    return predict_records(records, query_records(records), settings or Settings())
+    return predict_records(records, records.where("split in ('dev', 'test')"), settings or Settings())
 
 
 def predict_records(records: DataFrame, queries: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
     """The same for the given query records; demonstrations and statistics come from the train split of ``records``."""
-    demos = retrieval.demonstrations(token_picks(records, settings.n_shots, queries), train(records))
+    picks = cut(retrieval.token_nearest(queries, train(records), cut(stats.weighted(train_stats(records))), settings.n_shots))
+    demos = retrieval.demonstrations(picks, train(records))
     asked = queries.join(demos, "did", "left").withColumn("prompt", generation_prompt(F.coalesce("text", F.lit("")), F.coalesce("demos", F.array().cast("array<struct<text: string, ents: array<struct<name: string, type: string>>>>")), ["entity"]))
     told = F.filter(F.flatten(F.transform(F.coalesce("demos", F.array().cast("array<struct<text: string, ents: array<struct<name: string, type: string>>>>")), lambda d: d["ents"])), lambda e: F.contains(F.coalesce("text", F.lit("")), e["name"]))
     answered = asked.withColumn("answer", F.concat(F.lit("```json\n"), entities_json(F.array_distinct(told)), F.lit("\n```")))

@@ -317,6 +317,27 @@ def test_pipeline_end_to_end(spark, make_docs):
         assert m.f1 == 1.0, method
 
 
+def test_pipeline_takes_all_evaluation_records(spark, make_docs):
+    rows = [("p0", "a cancer here", [(1, 2, "Disease")])] + [(f"q{i}", f"the cancer no {i}", [(1, 2, "Disease")], ("dev", "test")[i % 2]) for i in range(45)]
+    for method in ("m1", "m2"):
+        s, _ = pipeline.predict(make_docs(*rows), Settings(method=method, n_shots=2))
+        assert sorted(r.did for r in s.collect()) == sorted(r[0] for r in rows[1:]), method
+
+
+@pytest.mark.parametrize("block, step, dense", [(1000, 256, 256), (7, 3, 2), (1000, 5, 1)])
+def test_token_nearest(spark, make_docs, block, step, dense):
+    rng = random.Random(block + step)
+    rows = [(f"r{i}", [] if i % 17 == 0 else [rng.choice("abcdefghijklmnopqrstuvw") for _ in range(rng.randint(1, 9))], [], ("train", "test")[i % 3 == 0], ("ncbi", "genia")[i % 5 == 0]) for i in range(90)]
+    r = corpus.corpus(make_docs(*rows)).withColumn("ord", F.floor(F.col("ord") / 4)).localCheckpoint()
+    w = stats.weighted(pipeline.train_stats(r)).localCheckpoint()
+    for q, pool in ((r.where("split = 'test'"), pipeline.train(r)), (r, r)):
+        for n in (1, 4, 60):
+            want = retrieval.ranked(retrieval.with_zero_scores(retrieval.token_scores(q, pool, w), q, pool, n), "s_token", n)
+            got = retrieval.token_nearest(q, pool, w, n, block, step, dense)
+            cols = ["did", "pool_did", "s_token", "rank"]
+            assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect()), n
+
+
 def test_stream_of_records(spark, make_docs, tmp_path):
     a, b = make_docs(("a", "x y", [(0, 1, "T")])), make_docs(("b", "x z", []))
     a.write.parquet(str(tmp_path / "in"))
