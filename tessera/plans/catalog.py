@@ -167,6 +167,12 @@ def token_vectors(spark, d):
     return retrieval.vocabulary(P.query_records(_records(spark, d))).select("dataset", "token", F.posexplode(hash_vector(F.col("token"))).alias("dim", "v"))
 
 
+@query
+def token_vectors_all(spark, d):
+    """``token_vectors`` of the whole vocabulary; that query keeps the subset its SQL states."""
+    return retrieval.vocabulary(_records(spark, d)).select("dataset", "token", F.posexplode(hash_vector(F.col("token"))).alias("dim", "v"))
+
+
 @query
 def sentence_vectors(spark, d):
     return _vectors(_records(spark, d)).select("did", F.posexplode("vec").alias("dim", "v"))

@@ -41,6 +41,14 @@ def test_query(spark, con, name):
         assert rows(got) == rows(want)
 
 
+def test_token_vectors_of_the_whole_vocabulary(spark, con):
+    subset = " WHERE split IN ('dev', 'test') AND ord % 20 = 0"
+    assert SQL["token_vectors"].count(subset) == 1
+    want = con.execute(SQL["token_vectors"].replace(subset, "")).fetch_df()
+    got = entry_module.queries()["token_vectors_all"](spark, D).toPandas()
+    assert rows(got) == rows(want)
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["dataset", "token", "n_e", "n_c", "n_o"] and df.count() > 0
