@@ -50,11 +50,12 @@ def evidence(hits: DataFrame, units: DataFrame, stats: DataFrame, library: DataF
     return text.groupBy("did").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda r: r["t"]), "\n\n").alias("evidence"))
 
 
-def add_pass(state: DataFrame, stats: DataFrame, kind: str, responder: Responder, settings: Settings, library: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def add_pass(state: DataFrame, stats: DataFrame, kind: str, responder: Responder, settings: Settings, library: DataFrame | None = None, between: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
     """(new state, trace) of the unseen or the missed-entity pass: one question per record with triggers; only additions.
 
     ``state``: ``dataset, did, units, text, types, spans``. A returned name becomes its first occurrence that covers a trigger, else its first; spans already
     there, type included, aren't added again. With a ``library`` the question shows counts and examples of the triggers.
+    ``between`` writes the additions once, so each question is asked once and state and trace come from the same answers.
     """
     units = T.annotated(state, stats)
     hits = T.unseen_triggers(units, settings.C, settings.surround) if kind == "unseen" else T.fn_triggers(units, settings.theta_fn)
@@ -66,7 +67,7 @@ def add_pass(state: DataFrame, stats: DataFrame, kind: str, responder: Responder
     named = once(once(items, target=name_units(F.col("i.name"), char_level(F.col("dataset")))), occ=occurrences(F.col("units"), F.col("target")))
     etype = F.when(F.col("i.type") == "", F.get("types", F.lit(0))).otherwise(F.col("i.type"))
     placed = named.select("did", "place", "spans", F.col("i.name").alias("token"), resolved(F.col("occ"), F.size("target"), etype, F.col("anchors")).alias("span"))
-    fresh = placed.where("span is not null").where(~F.array_contains("spans", F.col("span"))).groupBy("did", "span").agg(F.min("place").alias("seq"), F.min_by("token", "place").alias("token"))
+    fresh = between(placed.where("span is not null").where(~F.array_contains("spans", F.col("span"))).groupBy("did", "span").agg(F.min("place").alias("seq"), F.min_by("token", "place").alias("token")))
     none = F.array().cast(f"array<{SPAN}>")
     per_doc = fresh.groupBy("did").agg(F.sort_array(F.collect_list(F.struct("seq", "span"))).alias("x")).select("did", F.col("x.span").alias("fresh"))
     new = state.join(per_doc, "did", "left").withColumn("spans", F.array_distinct(F.concat("spans", F.coalesce("fresh", none)))).drop("fresh")
@@ -74,11 +75,11 @@ def add_pass(state: DataFrame, stats: DataFrame, kind: str, responder: Responder
     return new, trace
 
 
-def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, settings: Settings, library: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, settings: Settings, library: DataFrame | None = None, between: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
     """(new state, trace) of the edge pass: one question per span with triggers, all computed on the spans that came in.
 
     An empty object deletes the span; a changed name replaces it by that name's occurrence over the old span, if there is one; the same
-    name changes nothing, not even the type.
+    name changes nothing, not even the type. ``between`` writes the edits once, as in ``add_pass``.
     """
     hits = T.boundary_triggers(state, stats, settings.K)
     asked = hits.groupBy("did", "span_ord").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "side"))).alias("x")).select("did", "span_ord", F.col("x.token").alias("tokens"), F.transform(F.filter("x", lambda r: r["side"] == "inside"), lambda r: r["pos"]).alias("doubt"))
@@ -94,6 +95,7 @@ def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, sett
     read = once(once(read, target=F.coalesce(name_units(F.col("d.name"), char_level(F.col("dataset"))), F.array().cast("array<string>"))), occ=occurrences(F.col("units"), F.col("target")))
     target = resolved(F.col("occ"), F.size("target"), etype, F.sequence(F.col("start"), F.col("end") - 1))
     edits = read.select("did", "span_ord", F.col("s").alias("old"), F.when(F.col("d.action") == "delete", "delete").when((F.col("d.action") == "entity") & (F.col("d.name") != F.col("name")), "trim").alias("action"), target.alias("new")).where("action = 'delete' or (action = 'trim' and new is not null)")
+    edits = between(edits)
     by_doc = edits.groupBy("did").agg(F.map_from_entries(F.collect_list(F.struct("span_ord", F.struct(F.when(F.col("action") == "trim", F.col("new")).alias("new"))))).alias("edit"))
     kept = F.filter(F.transform("spans", lambda s, i: F.when(F.try_element_at("edit", i).isNotNull(), F.try_element_at("edit", i)["new"]).otherwise(s)), lambda s: s.isNotNull())
     new = state.join(by_doc, "did", "left").withColumn("spans", F.when(F.col("edit").isNull(), F.col("spans")).otherwise(kept)).drop("edit")
@@ -105,13 +107,14 @@ def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, sett
 def reflect(state: DataFrame, stats: DataFrame, responder: Responder = mock_responder, settings: Settings | None = None, between: Callable[[DataFrame], DataFrame] = cut, library: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(final state, trace): the selected passes in fixed order, each on the spans of the one before; spans end up distinct.
 
-    Each pass uses its state several times, so ``between`` writes it once before the passes and after each of them.
+    Each pass uses its state several times, so ``between`` writes it once before the passes and after each of them, and what a
+    pass changes once in it: a responder sees each question once, and every edit of the trace is in the state.
     """
     settings = settings or Settings()
     state, stats = between(state), between(stats)
     trace = None
     for kind in settings.ordered():
-        state, own = boundary_pass(state, stats, responder, settings, library) if kind == "boundary" else add_pass(state, stats, kind, responder, settings, library)
+        state, own = boundary_pass(state, stats, responder, settings, library, between) if kind == "boundary" else add_pass(state, stats, kind, responder, settings, library, between)
         state = between(state)
         trace = own if trace is None else trace.unionByName(own)
     return state.withColumn("spans", F.array_distinct("spans")), trace

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,9 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; later steps read it back from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as a Parquet table in the shared folder; later steps read from it the columns they need.
+
+    The tables of a session are removed when it ends.
+    """
+    spark = df.sparkSession
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
+    store = root.getFileSystem(jsc.hadoopConfiguration())
+    store.mkdirs(root)
+    store.deleteOnExit(root)
+    path = f"{root.toString()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -11,6 +11,7 @@ from tessera.functions.spans import bio_spans, bio_tag
 from tessera.operators import align, evaluate, reflect, retrieval, sampling, stats, triggers
 from tessera.plans import pipeline
 from tessera.plans.config import Settings, dataset
+from tessera.runtime import cut
 from tessera.sources import cache, corpus
 from tessera.streaming import increments
 
@@ -328,8 +329,8 @@ def test_pipeline_takes_all_evaluation_records(spark, make_docs):
 def test_token_nearest(spark, make_docs, block, step, dense):
     rng = random.Random(block + step)
     rows = [(f"r{i}", [] if i % 17 == 0 else [rng.choice("abcdefghijklmnopqrstuvw") for _ in range(rng.randint(1, 9))], [], ("train", "test")[i % 3 == 0], ("ncbi", "genia")[i % 5 == 0]) for i in range(90)]
-    r = corpus.corpus(make_docs(*rows)).withColumn("ord", F.floor(F.col("ord") / 4)).localCheckpoint()
-    w = stats.weighted(pipeline.train_stats(r)).localCheckpoint()
+    r = corpus.corpus(make_docs(*rows)).withColumn("ord", F.floor(F.col("ord") / 4)).transform(cut)
+    w = cut(stats.weighted(pipeline.train_stats(r)))
     for q, pool in ((r.where("split = 'test'"), pipeline.train(r)), (r, r)):
         for n in (1, 4, 60):
             want = retrieval.ranked(retrieval.with_zero_scores(retrieval.token_scores(q, pool, w), q, pool, n), "s_token", n)
@@ -374,6 +375,35 @@ def test_evidence_in_prompts(spark, make_docs):
     assert "num_occurrences_as_entity" in text["fn"] and 'Output: {"name": "lung cancer", "type": "Disease"}' in text["fn"] and "Around: ['cancer', 'lung']" in text["unseen"]
 
 
+def test_each_question_is_asked_once(spark, make_docs):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    train = corpus.corpus(make_docs(*[(f"t{i}", [rng.choice(words) for _ in range(8)], [(rng.randrange(4), 4 + rng.randrange(4), "D")]) for i in range(30)]))
+    docs = make_docs(*[(f"q{i}", [rng.choice([*words, "new", "odd"]) for _ in range(8)], []) for i in range(12)])
+    s = state_of(spark, docs, {f"q{i}": [(i % 4, 4 + i % 4, "D")] for i in range(0, 12, 2)})
+    asked = spark.sparkContext.accumulator(0)
+
+    def answer(name):
+        asked.add(1)
+        return f'{{"name": "{name}", "type": "T{random.random()}"}}' if name else "{}"
+
+    ask = F.udf(answer, "string").asNondeterministic()
+
+    def responder(rows, kind):
+        if kind == "boundary":
+            return rows.withColumn("answer", F.concat(F.lit("Updated Predicted Entity: "), ask(F.get("units", F.col("start")))))
+        return rows.withColumn("answer", F.concat(F.lit('Final predicted entities: {"named_entities": ['), ask(F.element_at("tokens", 1)), F.lit("]}")))
+
+    for passes in (("unseen",), ("fn",), ("boundary",), ("unseen", "fn", "boundary")):
+        asked.value = 0
+        final, trace = reflect.reflect(s, stats.token_stats(stats.classified(train)), responder, Settings(theta_fn=0.3, surround=0.1, passes=passes))
+        once_asked, rows = asked.value, trace.collect()
+        spans = {r.did: {tuple(x) for x in r.spans} for r in final.collect()}
+        assert asked.value == once_asked > 0 and rows, passes
+        if len(passes) == 1:
+            assert all(tuple(r.span) in spans[r.did] for r in rows if r.action == "add") and all(tuple(r.new) in spans[r.did] for r in rows if r.action == "trim"), passes
+
+
 def test_label_maps():
     from tessera.plans import config
 
