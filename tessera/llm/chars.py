@@ -1,11 +1,14 @@
-"""Character tables built by rule from the Unicode database, and a column expression that folds text."""
+"""Character tables built by rule from the Unicode database, and a fold of whole batches of text by them."""
 
 from __future__ import annotations
 
 import re
 import unicodedata as ud
+from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,3 +146,139 @@ def plain_words(text: Column) -> Column:
     """Folded text whose runs of anything but letters and digits are one blank; ideographs stand apart as words."""
     spaced = F.regexp_replace(fold(text), "([\\x{2E80}-\\x{2FDF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FFFF}])", " $1 ")
     return F.trim(F.regexp_replace(spaced, "[^\\p{L}\\p{N}]+", " "))
+
+
+#: Blocks of ideographs and kana, each sign of which is a word of its own.
+IDEOGRAPHS = ((0x2E80, 0x2FDF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF))
+#: Code points that stand for themselves without a look: ideographs, Hangul, surrogates and private use.
+_PLAIN = ((0x3400, 0x9FFF), (0xAC00, 0xF8FF), (0x20000, 0x2F7FF))
+
+
+def is_ideograph(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes), bool)
+    for a, b in IDEOGRAPHS:
+        out |= (codes >= a) & (codes <= b)
+    return out
+
+
+def folded(ch: str) -> str:
+    """What ``ch`` counts as when texts are compared: its printed form in lower case without accents; signs that only join or mark count as nothing."""
+    if hidden(ch) or ud.combining(ch):
+        return ""
+    low = ch.lower()
+    if len(low) > 1:
+        low = "".join(c for c in low if not ud.combining(c))
+    flat = "".join(c for x in low for c in ud.normalize("NFKD", printed(x)) if not ud.combining(c)).lower()
+    flat = "".join(LOOK_ALIKE.get(c, c) for c in flat).replace("ς", "σ")
+    several = len(flat) > 1 and not (flat.isascii() and flat.isalpha() and not 0x2100 <= ord(ch) < 0x2150 and not 0x3200 <= ord(ch) < 0xFB00)
+    return low if several else flat
+
+
+class Folding(NamedTuple):
+    """For each code point: what it folds to (0: nothing; from ``LAST`` on: a row of ``several``), and its kind: 1 letter or digit, 2 ideograph, 0 else."""
+
+    to: np.ndarray
+    kind: np.ndarray
+    several: list[np.ndarray]
+
+
+LAST = 0x110000
+
+
+@cache
+def folding() -> Folding:
+    """The tables, some 5 MB, made once in each process."""
+    to, kind, several = np.arange(LAST, dtype=np.uint32), np.zeros(LAST, np.uint8), []
+    for cp in [*range(0x30000), *range(0xE0000, 0xE0200)]:
+        plain = any(a <= cp <= b for a, b in _PLAIN)
+        if plain and not 0xF900 <= cp:
+            kind[cp] = not 0xD800 <= cp <= 0xF8FF
+            continue
+        ch, category = chr(cp), ud.category(chr(cp))
+        kind[cp] = category[0] in "LN"
+        if category[0] not in "CMZ" and ch.lower() == ch and not ud.decomposition(ch) and ch not in LOOK_ALIKE and ch not in LOOK_ALIKE_SIGNS and cp not in HIDDEN and ch != "ς":
+            continue
+        flat = folded(ch)
+        if flat == "":
+            to[cp] = 0
+        elif len(flat) == 1:
+            to[cp] = ord(flat)
+        else:
+            to[cp] = LAST + len(several)
+            several.append(np.array([ord(c) for c in flat], np.uint32))
+    for a, b in IDEOGRAPHS:
+        kind[a : b + 1] *= 2
+    return Folding(to, kind, several)
+
+
+class Letters(NamedTuple):
+    """The folded letters and digits of several texts in a row; each has the number of its text and of its word, each word its hash and text."""
+
+    codes: np.ndarray
+    text: np.ndarray
+    word: np.ndarray
+    hashes: np.ndarray
+    word_text: np.ndarray
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit values scrambled, the same in every process."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def fold_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(folded code points of all texts, each followed by a line end; the number of the text of each)."""
+    fold_ = folding()
+    raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    to = fold_.to[raw]
+    if len(fold_.several) and to.max(initial=0) >= LAST:
+        many = to >= LAST
+        size = np.ones(len(to), np.int64)
+        size[many] = [len(fold_.several[i - LAST]) for i in to[many]]
+        at = np.cumsum(size) - size
+        wide = np.repeat(to, size)
+        for i, v in zip(at[many], to[many], strict=True):
+            wide[i : i + len(fold_.several[v - LAST])] = fold_.several[v - LAST]
+        to, text = wide, np.repeat(text, size)
+    keep = to > 0
+    return to[keep], text[keep]
+
+
+def letters(texts: list[str], together: bool = False) -> Letters:
+    """The folded letters of ``texts`` by words: runs of letters and digits, and single ideographs.
+
+    With ``together`` signs and white space part words only where white space stands: ``don't`` is one word.
+    """
+    codes, text = fold_codes(texts)
+    kind = folding().kind[codes]
+    if together:
+        apart = (kind > 0) | (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0x85) | (codes == 0xA0)
+        codes, text, kind = codes[apart], text[apart], kind[apart]
+    begins = kind == 2
+    begins[0:1] |= kind[0:1] == 1
+    begins[1:] |= (kind[1:] == 1) & (kind[:-1] != 1)
+    own = kind > 0
+    word = (np.cumsum(begins) - 1)[own]
+    codes, text = codes[own], text[own]
+    first = np.flatnonzero(begins[own])
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(codes)) - first[word]).astype(np.uint64) if len(first) else np.zeros(0, np.uint64)
+        each = mixed(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
+        hashes = mixed(np.add.reduceat(each, first)) if len(first) else np.zeros(0, np.uint64)
+    return Letters(codes, text, word, hashes, text[first])
+
+
+def slabs(texts: list[str], most: int = 200_000) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) in runs of about ``most`` characters, so that arrays stay small; a longer text is a run of its own."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield begin, texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, texts[begin:]

@@ -263,6 +263,42 @@ def test_leaks_at_ends_of_documents(spark):
     assert {tuple(r) for r in leaks.leaked(d, it).collect()} == {(i, 7) for i in range(len(rows))}
 
 
+def held(item, doc, shortest, edits):
+    """By all beginnings in the item: the fewest edits that make each stretch of it one of the document's."""
+    for s in range(len(item)):
+        row = [0] * (len(doc) + 1)
+        for i in range(s, len(item)):
+            before, row = row, [row[0] + 1] + [0] * len(doc)
+            for j, w in enumerate(doc, 1):
+                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (w != item[i]))
+            if i + 1 - s >= shortest and min(row) <= edits * (i + 1 - s) + 1e-9:
+                return True
+    return False
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 3, 4, 5, 6, 14])))
+    items = [[word() for _ in range(rng.choice([1, 3, 8, 14, 20, 27, 40]))] for _ in range(14)]
+    items += [[rng.choice("肺叶脂肪样病变表现明显关于价格的方案") for _ in range(40)], [*"关于价格的方案", "p11204", *"记录列出账目审计"]]
+    rows = []
+    for i in range(420):
+        item = items[i % len(items)]
+        size = rng.randint(max(1, len(item) // 2 - 1), len(item))
+        at = rng.randint(0, len(item) - size)
+        part = item[at : at + size]
+        longest = sorted(range(size), key=lambda x: -len(part[x]))
+        for x in longest[: rng.randint(0, 1 + size // 5)]:  # the longest words, which spoil most grams
+            part[x] = rng.choice([word(), word() + "kkkkkkkkkkkkkkkkkkkkkkkkkk", "", f"{word()} {part[x]}"])
+        body = [word() for _ in range(rng.choice([0, 1, 5, 25]))]
+        rows.append((i, " ".join([*body, *(w for w in part if w), *(word() for _ in range(rng.choice([0, 2, 30])))])))
+    it = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id int, text string")
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {(i, k) for i, t in rows for k, x in enumerate(items) if held(x, t.split(), max(1, -(-len(x) // 2)), 0.15)}
+    got = {tuple(r) for r in leaks.leaked(d, it).collect()}
+    assert got == want and len(want) > 100
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 def test_mixing(spark):
     rng = random.Random(12)
