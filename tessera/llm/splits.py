@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chars import fold
-from tessera.runtime import cut, digest
+from tessera.llm.chars import is_ideograph, letters, mixed, slabs
+from tessera.runtime import cut
 
-_HAN = "[\\x{2E80}-\\x{2FDF}\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FFFF}]"
-#: Counters of gram frequency: a fixed number whatever the input, as frequency only orders the grams.
-BUCKETS = 1 << 20
+#: Datasets whose texts are compared by characters.
+BY_CHARACTERS = ("cmeee",)
+#: Gram counters: as many as there are units, within these bounds. They only order the grams, so results don't depend on their number.
+FEWEST, MOST = 1 << 16, 1 << 22
+_PARTS = 64
 
 
 def comparable(docs: DataFrame) -> DataFrame:
-    """``did, side, cls, w, han``: folded texts of the train (``t``) and evaluation (``e``) splits and the class of equal ones.
+    """``did, side, cls, chars, n, units``: folded texts of the train (``t``) and evaluation (``e``) splits as hashes of their units, and the class of equal ones.
 
-    Texts with ideographs are compared by characters, others by words; punctuation and blanks are gone. Rows without key, text or
-    split, and texts without any letter or digit, take no part; a repeated ``did`` counts once.
+    Units are characters for the datasets of ``BY_CHARACTERS``, else words (ideographs being words); punctuation and white space are gone. So that texts
+    of both kinds of datasets meet, a text with ideographs of another dataset has a second row by characters, and a text by characters
+    of which at most 30 % are ideographs, a second row by words: one with more differs from any without by over 15 %. Rows without key, text or split,
+    and texts without any letter or digit, take no part.
     """
-    low = F.regexp_replace(fold(F.col("text")), "[^\\p{L}\\p{N}\\s]+", "")
-    one = docs.where("did is not null and text is not null and split is not null").select("did", F.lower(F.trim("split")).alias("split"), "text").dropDuplicates(["did"])
-    sided = one.select("did", F.when(F.col("split") == "train", "t").when(F.col("split").isin("dev", "test"), "e").alias("side"), low.alias("low"), F.col("text").rlike(_HAN).alias("han")).where("side is not null")
-    w = F.when(F.col("han"), F.regexp_replace("low", "\\s+", "")).otherwise(F.trim(F.regexp_replace("low", "\\s+", " ")))
-    return sided.select("did", "side", "han", w.alias("w")).where("w <> ''").withColumn("cls", digest(F.col("w")))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            ids, sides, kinds = pdf["did"].tolist(), pdf["side"].tolist(), pdf["by"].tolist()
+            for begin, texts in slabs(pdf["text"].tolist()):
+                t = letters(texts, together=True)
+                char_hashes, han = mixed(t.codes.astype(np.uint64)), is_ideograph(t.codes)
+                a, b = np.searchsorted(t.text, np.arange(len(texts) + 1)), np.searchsorted(t.word_text, np.arange(len(texts) + 1))
+                hans = np.concatenate(([0], np.cumsum(han)))
+                for i in range(len(texts)):
+                    n, k, by = a[i + 1] - a[i], hans[a[i + 1]] - hans[a[i]], kinds[begin + i]
+                    for chars, wanted in ((True, by or k > 0), (False, not by or k <= 0.3 * n)):
+                        if wanted and n:
+                            units = (char_hashes[a[i] : a[i + 1]] if chars else t.hashes[b[i] : b[i + 1]]).tobytes()
+                            out.append((ids[begin + i], sides[begin + i], hashlib.blake2b(units, digest_size=16, salt=b"c" if chars else b"w").digest(), chars, len(units) // 8, units))
+            yield pd.DataFrame(out, columns=["did", "side", "cls", "chars", "n", "units"])
+
+    side = F.lower(F.trim("split"))
+    named = docs.select("did", F.when(side == "train", "t").when(side.isin("dev", "test"), "e").alias("side"), F.coalesce(F.col("dataset").isin(*BY_CHARACTERS), F.lit(False)).alias("by"), "text")
+    return named.where("did is not null and text is not null and side is not null").mapInPandas(fold, "did string, side string, cls binary, chars boolean, n int, units binary")
 
 
 def allowed(length: int, percent: int) -> int:
     return length * percent // 100
 
 
+@cache
 def gram_sizes(length: int, percent: int, longest: int) -> dict[int, int]:
     """Gram size -> edits to survive, for a text of ``length`` units and all longer partners it can have.
 
@@ -50,24 +73,13 @@ def gram_sizes(length: int, percent: int, longest: int) -> dict[int, int]:
     return out
 
 
-def _hash_units(units: list[str], han: bool) -> np.ndarray:
-    """64-bit hashes of units that are the same in every process."""
-    if han:
-        h = np.array([ord(u) for u in units], np.uint64)
-    else:
-        h = np.array([int.from_bytes(u.encode("utf-8", "replace")[:8].ljust(8, b"\0"), "little") ^ (len(u) << 56) ^ (int.from_bytes(u.encode("utf-8", "replace")[8:24].ljust(16, b"\0"), "little") % 0xFFFFFFFFFFFFFFC5) for u in units], np.uint64)
+def grams(hashes: np.ndarray, q: int) -> np.ndarray:
+    """A polynomial of each run of ``q`` hashes."""
+    n = max(len(hashes) - q + 1, 0)
+    h = np.full(n, q, np.uint64)
     with np.errstate(over="ignore"):
-        h = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        return h ^ (h >> np.uint64(31))
-
-
-def grams(hashes: np.ndarray, q: int, salt: int) -> np.ndarray:
-    n = len(hashes) - q + 1
-    with np.errstate(over="ignore"):
-        h = np.full(max(n, 0), q * 2 + salt, np.uint64)
         for i in range(q):
-            h = (h ^ hashes[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(29)
+            h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
     return h
 
 
@@ -92,13 +104,6 @@ def rare_prefix(order: np.ndarray, q: int, edits: int) -> np.ndarray:
     return order[:lo]
 
 
-def _signature(h: np.ndarray) -> tuple[int, int]:
-    bits = np.unique(h >> np.uint64(57))  # 0..127
-    lo, hi = bits[bits < 64], bits[bits >= 64] - np.uint64(64)
-    whole = lambda b: int(np.bitwise_or.reduce(np.uint64(1) << b).astype(np.int64)) if len(b) else 0
-    return whole(lo), whole(hi)
-
-
 def distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, a row of bits at a time."""
     if len(a) < len(b):
@@ -122,87 +127,174 @@ def distance(a: list, b: list) -> int:
     return score
 
 
-def _units(w: str, han: bool) -> list[str]:
-    return list(w) if han else w.split(" ")
+class _Slab:
+    """Texts of a batch one after the other, by unit hashes."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.n = pdf["n"].to_numpy().astype(np.int64)
+        self.units = np.frombuffer(b"".join(pdf["units"]), np.uint64)
+        self.begin = np.cumsum(self.n) - self.n
+        self.chars = pdf["chars"].to_numpy().astype(bool)
+
+    def sized(self, percent: int, longest: int) -> dict[int, list[tuple[int, int]]]:
+        """Gram size -> (text, edits) of the texts that use it."""
+        out: dict = {}
+        for i, n in enumerate(self.n.tolist()):
+            for q, t in gram_sizes(n, percent, longest).items():
+                out.setdefault(q, []).append((i, t))
+        return out
+
+
+def _slabs(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Batches cut to about ``most`` units."""
+    for pdf in batches:
+        part = (np.cumsum(pdf["n"].to_numpy()) - 1) // most
+        for _, own in pdf.groupby(part, sort=False):
+            yield own.reset_index(drop=True)
+
+
+def _of_texts(begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into ``begin``, position) of ``sizes`` places from each beginning on."""
+    owner = np.repeat(np.arange(len(begin)), sizes)
+    return owner, begin[owner] + np.arange(int(sizes.sum())) - (np.cumsum(sizes) - sizes)[owner]
+
+
+def _grams(x: _Slab, q: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into ``own``, place in the text, hash) of all grams of ``q`` units of the texts ``own``."""
+    g = grams(x.units, q)
+    owner, at = _of_texts(x.begin[own], np.maximum(x.n[own] - q + 1, 0))
+    with np.errstate(over="ignore"):
+        h = mixed(g[at] + x.chars[own][owner].astype(np.uint64))
+    return owner, at - x.begin[own][owner], h
+
+
+def _order(texts: DataFrame, percent: int, longest: int, hot: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """(weight of each counter, parts of the hot ones): the logarithm of evaluation times training texts with the gram, 0 if either has none."""
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = FEWEST
+    while buckets < min(4 * total, MOST):
+        buckets *= 2
+    part = buckets // _PARTS
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, buckets), np.uint32)
+        for pdf in _slabs(batches):
+            x, sides = _Slab(pdf), (pdf["in_e"].to_numpy().astype(bool), pdf["in_t"].to_numpy().astype(bool))
+            for q, users in x.sized(percent, longest).items():
+                own = np.array([i for i, _ in users])
+                owner, _, h = _grams(x, q, own)
+                b = (h & np.uint64(buckets - 1)).astype(np.int64)
+                pairs = np.unique(owner * buckets + b)  # a text counts once
+                owner, b = pairs // buckets, pairs % buckets
+                for k in (0, 1):
+                    sums[k] += np.bincount(b[sides[k][own][owner]], minlength=buckets).astype(np.uint32)
+        for p in range(_PARTS):
+            both = sums[:, p * part : (p + 1) * part]
+            if both.any():
+                yield pd.DataFrame({"part": [p], "sums": [both.tobytes()]})
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        both = np.zeros((2, part), np.int64)
+        for s in pdf["sums"]:
+            both += np.frombuffer(s, np.uint32).reshape(2, part)
+        weight = np.zeros(part, np.uint8)
+        shared = (both > 0).all(axis=0)
+        weight[shared] = np.minimum(255, 1 + 4 * np.log2(both[:, shared].astype(float)).sum(axis=0))
+        many = np.flatnonzero(shared & (both > hot).any(axis=0))
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "weight": [weight.tobytes()], "hot": [[[int(b), *(int(-(-both[k, b] // hot)) for k in (0, 1))] for b in many]]})
+
+    weight, salts = np.zeros(buckets, np.uint8), {}
+    counted = texts.select("n", "units", "chars", "in_e", "in_t").mapInPandas(count, "part int, sums binary")
+    for r in counted.groupBy("part").applyInPandas(weigh, "part int, weight binary, hot array<array<int>>").collect():
+        weight[r.part * part : (r.part + 1) * part] = np.frombuffer(r.weight, np.uint8)
+        salts |= {r.part * part + b: (e, t) for b, e, t in r.hot}
+    return weight, salts
+
+
+def _spoils(bare: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int, edits: np.ndarray) -> np.ndarray:
+    """For each text (grams ``begin`` to ``end``), whether its ``bare`` grams need more than ``edits`` changed units to be spoiled."""
+    n = len(bare)
+    following = np.full(n + 1, n, np.int64)  # the next bare gram from each place on
+    following[:n] = np.where(bare, np.arange(n), n)
+    following = np.minimum.accumulate(following[::-1])[::-1]
+    now, used = begin.copy(), np.zeros(len(begin), np.int64)
+    for _ in range(int(edits.max(initial=-1)) + 1):
+        hit = following[np.minimum(now, n)]
+        inside = hit < end
+        used += inside
+        now = np.where(inside, np.minimum(hit + q, end), end)
+    return used > edits
 
 
 def near_pairs(texts: DataFrame, percent: int = 15, longest: int = 6, hot: int = 50_000) -> DataFrame:
     """``e, t``: classes (evaluation, training) of different texts within ``percent`` of the longer one's units in edits.
 
-    ``texts`` has one row per class: ``cls, w, han, in_e, in_t``. Exact: evaluation and training texts are
+    ``texts`` has one row per class: ``cls, chars, n, units, in_e, in_t``. Exact: evaluation and training texts are
     joined on the rarest grams of each that the allowed edits cannot all spoil, filtered by length, position and a
-    128-bit signature of their units, and verified by edit distance. Rarity is the product of both sides' counts, kept in a fixed
-    number of counters; grams of one side only come first and join nothing. A gram in over ``hot`` training texts is salted.
+    128-bit signature of their units, and verified by edit distance. Rarity is the product of both sides' counts, kept in
+    counters of bounded number; grams of one side only come first and join nothing, so a text in which the edits cannot spoil these is done. A
+    gram in over ``hot`` texts of a side is split: the rows of that side over parts, those of the other copied to each.
     """
     spark = texts.sparkSession
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e, t = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for pdf in batches:
-            for w, han, in_e, in_t in zip(pdf["w"], pdf["han"], pdf["in_e"], pdf["in_t"], strict=True):
-                h = _hash_units(u := _units(w, han), han)
-                for q in gram_sizes(len(u), percent, longest):
-                    b = np.unique(grams(h, q, int(han)) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                    if in_e:
-                        e[b] += 1
-                    if in_t:
-                        t[b] += 1
-        at = np.flatnonzero(e + t)
-        yield pd.DataFrame({"b": at, "e": e[at], "t": t[at]})
-
-    table = texts.select("w", "han", "in_e", "in_t").mapInPandas(count, "b bigint, e bigint, t bigint").groupBy("b").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).where("e > 0 and t > 0").toArrow()
-    weight, train = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    b = table["b"].to_numpy()
-    weight[b], train[b] = table["e"].to_numpy() * table["t"].to_numpy(), table["t"].to_numpy()
-    shared = spark.sparkContext.broadcast((weight, np.maximum(1, -(-train // hot)).astype(np.int16)))
+    shared = spark.sparkContext.broadcast(_order(texts, percent, longest, hot))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, salts = shared.value
-        for pdf in batches:
-            out: list[tuple] = []
-            for cls, w, han, in_e, in_t in zip(pdf["cls"], pdf["w"], pdf["han"], pdf["in_e"], pdf["in_t"], strict=True):
-                h = _hash_units(u := _units(w, han), han)
-                s1, s2 = _signature(h)
-                own = cls[0] | cls[1] << 8
-                for q, edits in gram_sizes(len(u), percent, longest).items():
-                    g = grams(h, q, int(han))
-                    if not len(g):
-                        continue
-                    of = weight[(g & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    for p in rare_prefix(np.lexsort((g, of)), q, edits):
-                        if not of[p]:
+        mask = np.uint64(len(weight) - 1)
+        for pdf in _slabs(batches):
+            x, out = _Slab(pdf), []
+            classes, in_e, in_t = pdf["cls"].tolist(), pdf["in_e"].tolist(), pdf["in_t"].tolist()
+            for q, users in x.sized(percent, longest).items():
+                own, edits = np.array([i for i, _ in users]), np.array([t for _, t in users])
+                owner, _, h = _grams(x, q, own)
+                of = weight[h & mask]
+                begin, end = np.searchsorted(owner, np.arange(len(own))), np.searchsorted(owner, np.arange(len(own)), "right")
+                for k in np.flatnonzero((end > begin) & ~_spoils(of == 0, begin, end, q, edits)):
+                    i, a = int(own[k]), int(begin[k])
+                    g, w = h[a : end[k]], of[a : end[k]]
+                    u = x.units[x.begin[i] : x.begin[i] + x.n[i]]
+                    bits = np.unique(u >> np.uint64(57))
+                    s1, s2 = (int(np.bitwise_or.reduce(np.uint64(1) << b, initial=np.uint64(0)).astype(np.int64)) for b in (bits[bits < 64], bits[bits >= 64] - np.uint64(64)))
+                    cls = classes[i]
+                    own_part = cls[0] | cls[1] << 8
+                    for p in rare_prefix(np.lexsort((g, w)), q, int(edits[k])).tolist():
+                        if not w[p]:
                             continue
-                        n = int(salts[int(g[p]) & (BUCKETS - 1)])
-                        key = int(g[p].astype(np.int64))
-                        if in_t:
-                            out.append((False, key, own % n, bytes(cls), len(u), int(p), s1, s2))
-                        if in_e:
-                            out.extend((True, key, k, bytes(cls), len(u), int(p), s1, s2) for k in range(n))
-            yield pd.DataFrame(out, columns=["ev", "key", "salt", "cls", "n", "pos", "s1", "s2"])
-
-    posted = cut(texts.mapInPandas(prefixes, "ev boolean, key bigint, salt int, cls binary, n int, pos int, s1 bigint, s2 bigint"))
-    side = lambda ev: posted.where(F.col("ev") == ev).select("key", "salt", *[F.col(c).alias(f"{c}_{'e' if ev else 't'}") for c in ("cls", "n", "pos", "s1", "s2")])
+                        key, (n_e, n_t) = int(g[p].astype(np.int64)), salts.get(int(g[p] & mask), (1, 1))
+                        row = (cls, len(u), p, s1, s2)
+                        if in_t[i]:
+                            out.extend((False, key, j, own_part % n_t, *row) for j in range(n_e))
+                        if in_e[i]:
+                            out.extend((True, key, own_part % n_e, j, *row) for j in range(n_t))
+            yield pd.DataFrame(out, columns=["ev", "key", "part_e", "part_t", "cls", "n", "pos", "s1", "s2"])
+
+    posted = cut(texts.mapInPandas(prefixes, "ev boolean, key bigint, part_e int, part_t int, cls binary, n int, pos int, s1 bigint, s2 bigint"))
+    side = lambda ev: posted.where(F.col("ev") == ev).select("key", "part_e", "part_t", *[F.col(c).alias(f"{c}_{'e' if ev else 't'}") for c in ("cls", "n", "pos", "s1", "s2")])
     limit = F.expr(f"greatest(n_e, n_t) * {percent} div 100")
     close = (F.abs(F.col("n_e") - F.col("n_t")) <= limit) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= limit) & (F.expr("bit_count(s1_e ^ s1_t) + bit_count(s2_e ^ s2_t)") <= 2 * limit)
-    found = side(True).join(side(False), ["key", "salt"]).where(close & (F.col("cls_e") != F.col("cls_t"))).select("cls_e", "cls_t").distinct()
+    found = side(True).join(side(False), ["key", "part_e", "part_t"]).where(close & (F.col("cls_e") != F.col("cls_t"))).select("cls_e", "cls_t").distinct()
 
     @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series, han: pd.Series) -> pd.Series:
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for x, y, h in zip(a, b, han, strict=True):
-            u, v = _units(x, h), _units(y, h)
+        for x, y in zip(a, b, strict=True):
+            u, v = np.frombuffer(x, np.uint64).tolist(), np.frombuffer(y, np.uint64).tolist()
             out.append(distance(u, v) <= allowed(max(len(u), len(v)), percent))
         return pd.Series(out, dtype=bool)
 
-    a, b = texts.select(F.col("cls").alias("cls_e"), F.col("w").alias("w_e"), "han"), texts.select(F.col("cls").alias("cls_t"), F.col("w").alias("w_t"), F.col("han").alias("han_t"))
-    return found.join(a, "cls_e").join(b, "cls_t").where("han = han_t").where(verified("w_e", "w_t", "han")).select(F.col("cls_e").alias("e"), F.col("cls_t").alias("t"))
+    a, b = texts.select(F.col("cls").alias("cls_e"), F.col("units").alias("u_e"), "chars"), texts.select(F.col("cls").alias("cls_t"), F.col("units").alias("u_t"), F.col("chars").alias("chars_t"))
+    return found.join(a, "cls_e").join(b, "cls_t").where("chars = chars_t").where(verified("u_e", "u_t")).select(F.col("cls_e").alias("e"), F.col("cls_t").alias("t"))
 
 
 def overlaps(docs: DataFrame, percent: int = 15) -> tuple[DataFrame, DataFrame]:
-    """(``did, side, cls``, pairs of classes ``e, t``): every overlap between an evaluation and a training text, equal texts being one class."""
-    rows = cut(comparable(docs))
-    texts = rows.groupBy("cls").agg(F.first("w").alias("w"), F.first("han").alias("han"), F.max(F.col("side") == "e").alias("in_e"), F.max(F.col("side") == "t").alias("in_t"))
-    texts = cut(texts)
+    """(``did, side, cls``, pairs of classes ``e, t``): every overlap between an evaluation and a training text, equal texts being one class.
+
+    A repeated ``did`` counts once.
+    """
+    folded = cut(comparable(docs))
+    rows = folded.select("did", "side", "chars", "cls").dropDuplicates(["did", "chars"])
+    flags = rows.groupBy("cls").agg(F.max(F.col("side") == "e").alias("in_e"), F.max(F.col("side") == "t").alias("in_t"))
+    texts = cut(folded.groupBy("cls").agg(F.first("chars").alias("chars"), F.first("n").alias("n"), F.first("units").alias("units")).join(flags, "cls"))
     same = texts.where("in_e and in_t").select(F.col("cls").alias("e"), F.col("cls").alias("t"))
     return rows.select("did", "side", "cls"), same.unionByName(near_pairs(texts, percent))
 
@@ -211,7 +303,7 @@ def found(docs: DataFrame) -> DataFrame:
     """``did_a, did_b`` as TESTDATA.md defines them for problem 3: all pairs of documents behind the pairs of classes."""
     rows, pairs = overlaps(docs)
     e, t = rows.where("side = 'e'").select(F.col("cls").alias("e"), F.col("did").alias("x")), rows.where("side = 't'").select(F.col("cls").alias("t"), F.col("did").alias("y"))
-    return pairs.join(e, "e").join(t, "t").select(F.least("x", "y").alias("did_a"), F.greatest("x", "y").alias("did_b"))
+    return pairs.join(e, "e").join(t, "t").select(F.least("x", "y").alias("did_a"), F.greatest("x", "y").alias("did_b")).distinct()
 
 
 def overlap_report(docs: DataFrame) -> DataFrame:

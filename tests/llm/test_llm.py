@@ -122,13 +122,20 @@ def test_cross_split_pairs(spark):
     got = [tuple(r) for r in splits.found(docs(spark, rows)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and ("z1", "z2") in want
     # Every gram is hot: each is salted, and nothing is lost.
-    cls = splits.comparable(docs(spark, rows)).groupBy("cls").agg(F.first("w").alias("w"), F.first("han").alias("han"), F.max(F.col("side") == "e").alias("in_e"), F.max(F.col("side") == "t").alias("in_t"))
+    cls = splits.comparable(docs(spark, rows)).groupBy("cls").agg(*[F.first(c).alias(c) for c in ("chars", "n", "units")], F.max(F.col("side") == "e").alias("in_e"), F.max(F.col("side") == "t").alias("in_t"))
     plain, salted = (sorted(map(tuple, splits.near_pairs(cls, hot=h).collect())) for h in (50_000, 2))
     assert plain == salted
     assert splits.found(docs(spark, rows).limit(0)).count() == 0
     assert {r.dataset for r in splits.overlap_report(docs(spark, rows)).collect()} == {"ncbi"}
 
 
+def test_pairs_across_kinds_of_datasets(spark):
+    zh, en = "关于价格的方案很少提到审计，但账目常被投保。", "After weeks the locus mutated the somatic pedigree near the genome again and again"
+    rows = [("cmeee", "train", "a", zh), ("ncbi", "dev", "b", zh.replace("很少", "少")), ("genia", "test", "c", zh), ("cmeee", "dev", "d", en), ("ncbi", "train", "e", en.replace("locus", "loci")), ("cmeee", "train", "f", en.upper()), (None, "train", "g", en)]
+    df = spark.createDataFrame(rows, "dataset string, split string, did string, text string")
+    assert {tuple(r) for r in splits.found(df).collect()} == {("a", "b"), ("a", "c"), ("d", "e"), ("d", "f"), ("d", "g")}
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 def clustered(n, rng, size=12, dim=16):
     centers = rng.normal(size=(n // size + 1, dim))
