@@ -83,27 +83,6 @@ def grams(hashes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def stabs(positions: np.ndarray, q: int) -> int:
-    """The fewest units whose change spoils all grams at the given positions."""
-    n, free = 0, -1
-    for p in np.sort(positions):
-        if p > free:
-            n, free = n + 1, p + q - 1
-    return n
-
-
-def rare_prefix(order: np.ndarray, q: int, edits: int) -> np.ndarray:
-    """The shortest run of the rarest grams (positions in rarity order) that ``edits`` edits cannot spoil altogether."""
-    lo, hi = min(edits + 1, len(order)), min(q * edits + 1, len(order))
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if stabs(order[:mid], q) > edits:
-            hi = mid
-        else:
-            lo = mid + 1
-    return order[:lo]
-
-
 def distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, a row of bits at a time."""
     if len(a) < len(b):
@@ -136,6 +115,13 @@ class _Slab:
         self.begin = np.cumsum(self.n) - self.n
         self.chars = pdf["chars"].to_numpy().astype(bool)
 
+    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit sets of the units of each text, by the first seven bits of their hashes."""
+        bit = self.units >> np.uint64(57)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        low = bit < 64
+        return tuple(np.bitwise_or.reduceat(np.where(side, one, np.uint64(0)), self.begin).astype(np.int64) for side in (low, ~low))  # type: ignore[return-value]
+
     def sized(self, percent: int, longest: int) -> dict[int, list[tuple[int, int]]]:
         """Gram size -> (text, edits) of the texts that use it."""
         out: dict = {}
@@ -226,6 +212,31 @@ def _spoils(bare: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int, edits:
     return used > edits
 
 
+def _rarest(x: _Slab, q: int, own: np.ndarray, edits: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the shared grams in the shortest run of the rarest grams of each text that ``edits`` changes can't spoil altogether.
+
+    The length of the run is found for all texts at once by halving. Texts in which grams of one side are enough give none.
+    """
+    mask = np.uint64(len(weight) - 1)
+    owner, place, h = _grams(x, q, own)
+    edges = np.searchsorted(owner, np.arange(len(own) + 1))
+    keep = (edges[1:] > edges[:-1]) & ~_spoils(weight[h & mask] == 0, edges[:-1], edges[1:], q, edits)
+    of_kept = keep[owner]
+    own, edits, place, h = own[keep], edits[keep], place[of_kept], h[of_kept]
+    owner = (np.cumsum(keep) - 1)[owner[of_kept]]
+    begin, end = np.searchsorted(owner, np.arange(len(own))), np.searchsorted(owner, np.arange(len(own)), "right")
+    of = weight[h & mask]
+    rank = np.zeros(len(h), np.int64)
+    rank[np.lexsort((h, of, owner))] = np.arange(len(h)) - begin[owner]
+    lo, hi = np.minimum(edits + 1, end - begin), np.minimum(q * edits + 1, end - begin)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        enough = _spoils(rank < mid[owner], begin, end, q, edits)
+        lo, hi = np.where(~enough & (lo < hi), mid + 1, lo), np.where(enough & (lo < hi), mid, hi)
+    take = (rank < lo[owner]) & (of > 0)
+    return own[owner[take]], place[take], h[take]
+
+
 def near_pairs(texts: DataFrame, percent: int = 15, longest: int = 6, hot: int = 50_000) -> DataFrame:
     """``e, t``: classes (evaluation, training) of different texts within ``percent`` of the longer one's units in edits.
 
@@ -242,31 +253,19 @@ def near_pairs(texts: DataFrame, percent: int = 15, longest: int = 6, hot: int =
         weight, salts = shared.value
         mask = np.uint64(len(weight) - 1)
         for pdf in _slabs(batches):
-            x, out = _Slab(pdf), []
-            classes, in_e, in_t = pdf["cls"].tolist(), pdf["in_e"].tolist(), pdf["in_t"].tolist()
+            x, classes = _Slab(pdf), pdf["cls"].to_numpy()
+            in_e, in_t = pdf["in_e"].to_numpy().astype(bool), pdf["in_t"].to_numpy().astype(bool)
+            part, (s1, s2) = np.array([c[0] | c[1] << 8 for c in classes], np.int64), x.signatures()
             for q, users in x.sized(percent, longest).items():
-                own, edits = np.array([i for i, _ in users]), np.array([t for _, t in users])
-                owner, _, h = _grams(x, q, own)
-                of = weight[h & mask]
-                begin, end = np.searchsorted(owner, np.arange(len(own))), np.searchsorted(owner, np.arange(len(own)), "right")
-                for k in np.flatnonzero((end > begin) & ~_spoils(of == 0, begin, end, q, edits)):
-                    i, a = int(own[k]), int(begin[k])
-                    g, w = h[a : end[k]], of[a : end[k]]
-                    u = x.units[x.begin[i] : x.begin[i] + x.n[i]]
-                    bits = np.unique(u >> np.uint64(57))
-                    s1, s2 = (int(np.bitwise_or.reduce(np.uint64(1) << b, initial=np.uint64(0)).astype(np.int64)) for b in (bits[bits < 64], bits[bits >= 64] - np.uint64(64)))
-                    cls = classes[i]
-                    own_part = cls[0] | cls[1] << 8
-                    for p in rare_prefix(np.lexsort((g, w)), q, int(edits[k])).tolist():
-                        if not w[p]:
-                            continue
-                        key, (n_e, n_t) = int(g[p].astype(np.int64)), salts.get(int(g[p] & mask), (1, 1))
-                        row = (cls, len(u), p, s1, s2)
-                        if in_t[i]:
-                            out.extend((False, key, j, own_part % n_t, *row) for j in range(n_e))
-                        if in_e[i]:
-                            out.extend((True, key, own_part % n_e, j, *row) for j in range(n_t))
-            yield pd.DataFrame(out, columns=["ev", "key", "part_e", "part_t", "cls", "n", "pos", "s1", "s2"])
+                text, place, h = _rarest(x, q, *map(np.array, zip(*users, strict=True)), weight)
+                n_e, n_t = np.ones((2, len(h)), np.int64)
+                if salts:
+                    n_e, n_t = np.array([salts.get(b, (1, 1)) for b in (h & mask).tolist()], np.int64).reshape(-1, 2).T
+                for ev, within, mine, other in ((True, in_e, n_e, n_t), (False, in_t, n_t, n_e)):
+                    at = np.flatnonzero(within[text])
+                    at, copy = np.repeat(at, other[at]), _of_texts(np.zeros(len(at), np.int64), other[at])[1]
+                    i, own = text[at], part[text[at]] % mine[at]
+                    yield pd.DataFrame({"ev": ev, "key": h[at].astype(np.int64), "part_e": own if ev else copy, "part_t": copy if ev else own, "cls": classes[i], "n": x.n[i], "pos": place[at], "s1": s1[i], "s2": s2[i]})
 
     posted = cut(texts.mapInPandas(prefixes, "ev boolean, key bigint, part_e int, part_t int, cls binary, n int, pos int, s1 bigint, s2 bigint"))
     side = lambda ev: posted.where(F.col("ev") == ev).select("key", "part_e", "part_t", *[F.col(c).alias(f"{c}_{'e' if ev else 't'}") for c in ("cls", "n", "pos", "s1", "s2")])
