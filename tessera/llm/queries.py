@@ -84,7 +84,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"))
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), subjects.terms_of(table(spark, d, "subjects")))
 
 
 def p9_composition(spark: SparkSession, d: str) -> DataFrame:

@@ -342,6 +342,23 @@ def test_subjects(spark):
     assert subjects.subjects_of(d.limit(0), labels.limit(0)).count() == 0
 
 
+def test_shares_of_subjects(spark):
+    law, med = "The court heard the plaintiff and the tribunal upheld the statute.", "The nurse checked the catheter and the surgeon closed the incision."
+    both = "The court heard the plaintiff about the catheter of the surgeon."
+    plain = [f"The road number {x} went over the old hill beside a lake." for x in "abcdefghijklmno"]
+    rows = [(1, " ".join([law, *plain[:9]])), (2, " ".join([both] * 5)), (3, " ".join([law, *plain[9:12]])), (4, f"```\n{law} " + " ".join(plain[12:14])), (5, f"{law}\nPage 1 of all.\nPage 2 of all.\nPage 3 of all.\nPage 4 of all."), (6, "Page 7 of all."), (7, law + "\n    x = court(3)\n"), (8, " ".join([med] * 3)), (9, "A dragon ate the wizard. " * 3)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = spark.createDataFrame([("law", "x"), ("clinical", None), ("fantasy", "dragon and wizard tales"), (None, "y")], "subject string, gloss string")
+    terms = subjects.terms_of(table)
+    assert sorted(terms) == ["clinical", "fantasy", "law"]
+    for labels in ([], [(8, "clinical"), (3, "law"), (2, "law"), (2, "clinical"), (9, "fantasy")]):
+        got: dict = {}
+        for r in subjects.subjects_of(d, spark.createDataFrame(labels, "doc_id bigint, subject string"), terms).collect():
+            got.setdefault(r.doc_id, {})[r.subject] = r.share_pm
+        assert got == {2: {"law": 1000, "clinical": 1000}, 3: {"law": 250}, 4: {"law": 333}, 5: {"law": 1000}, 7: {"law": 1000}, 8: {"clinical": 1000}, 9: {"fantasy": 1000}}
+    assert subjects.subjects_of(d, spark.createDataFrame([], "doc_id bigint, subject string"), {}).count() == 0
+
+
 # --- all ------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
