@@ -49,8 +49,15 @@ def plan_lines(plans: DataFrame, max_rows: int = 100_000) -> dict:
     return out
 
 
-def _moments(patterns: DataFrame, plans: dict, duals: dict, base: dict) -> dict:
-    """plan -> (sum of p x, sum of p x x', value of the dual) over all records; partial sums in numpy, added up by group."""
+#: Exponents above this give a probability of 1 with any base rate; the limit only keeps the exponential finite.
+_TOP = 60.0
+
+
+def _moments(patterns: DataFrame, plans: dict, duals: dict, base: dict, certain: dict) -> dict:
+    """plan -> (sum of p x, sum of p x x', value of the dual) over all records; partial sums in numpy, added up by group.
+
+    Records with one of the plan's ``certain`` codes have probability 1.
+    """
     spec = {p: (v["dataset"], v["codes"]) for p, v in plans.items()}
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,11 +70,12 @@ def _moments(patterns: DataFrame, plans: dict, duals: dict, base: dict) -> dict:
                     if of != ds:
                         continue
                     x = np.array([[m.get(c, 0) for c in codes] for m in maps], float)
-                    u = np.clip(x @ np.array(duals[p]), -30, 30)
+                    u = np.minimum(x @ np.array(duals[p]), _TOP)
                     q = base[p] * np.exp(u)
-                    free = q < 1
-                    dual = (w * np.where(free, q, 1 + u + np.log(base[p]))).sum()  # convex, its slope is the capped probability
-                    q = np.minimum(q, 1)
+                    sure = x[:, certain[p]].any(axis=1) if certain[p] else np.zeros(len(x), bool)
+                    free = (q < 1) & ~sure
+                    dual = (w * np.where(sure, x @ np.array(duals[p]), np.where(free, q, 1 + u + np.log(base[p])))).sum()  # convex, its slope is the capped probability
+                    q = np.where(sure, 1.0, np.minimum(q, 1))
                     g = (x * (w * q)[:, None]).sum(0)
                     h = (x * (w * q * free)[:, None]).T @ x
                     sums[p] = sums.get(p, 0) + np.concatenate([g, h.ravel(), [dual]])
@@ -80,20 +88,22 @@ def _moments(patterns: DataFrame, plans: dict, duals: dict, base: dict) -> dict:
     return {p: (v[: len(plans[p]["codes"])], v[len(plans[p]["codes"]) : -1].reshape(len(plans[p]["codes"]), -1), v[-1]) for p, v in got.items()}
 
 
-def calibrate(patterns: DataFrame, plans: dict, targets: dict, rounds: int = 25, tolerance: float = 1e-3) -> tuple[dict, dict]:
-    """Duals and base rate of each plan: inclusion probability min(1, base * exp(dual . x)) meets the targets.
+def calibrate(patterns: DataFrame, plans: dict, targets: dict, certain: dict, rounds: int = 25, tolerance: float = 1e-3) -> tuple[dict, dict, dict]:
+    """Duals, base rate and convergence of each plan: inclusion probability min(1, base * exp(dual . x)) meets the targets.
 
     Newton steps on the dual of exponential tilting, damped more after a step that doesn't lower it and less after one that does;
-    each round is one distributed aggregation of the moments over distinct count patterns. Targets beyond reach pull their
-    records to probability 1.
+    each round is one distributed aggregation of the moments over distinct count patterns. Along a target of all there is or more the dual has no
+    minimum: the records of these ``certain`` codes (positions in the plan) are taken for sure, and the others calibrated beside them. A plan has converged if
+    the expected mentions of all its other codes are within ``tolerance`` of their targets; where targets exclude each other the best point found stays.
     """
     base = {p: min(max(v["fraction"] / 1000, 1e-6), 1.0) for p, v in plans.items()}
     trial = {p: np.zeros(len(v["codes"])) for p, v in plans.items()}
     best: dict = {}
+    met: dict = {}
     damping = dict.fromkeys(plans, 1e-3)
     for _ in range(rounds):
         done = True
-        for p, (g, h, value) in _moments(patterns, plans, trial, base).items():
+        for p, (g, h, value) in _moments(patterns, plans, trial, base, certain).items():
             value -= float(trial[p] @ targets[p])
             if p not in best or value < best[p][0]:
                 best[p] = (value, trial[p], g, h)
@@ -102,15 +112,17 @@ def calibrate(patterns: DataFrame, plans: dict, targets: dict, rounds: int = 25,
                 damping[p] *= 8
             _, at, g, h = best[p]
             gap = targets[p] - g
-            if damping[p] > 1e6 or np.all(np.abs(gap) <= tolerance * np.maximum(targets[p], 1)):
+            gap[certain[p]] = 0.0
+            met[p] = bool(np.all(np.abs(gap) <= tolerance * np.maximum(targets[p], 1)))
+            if damping[p] > 1e6 or met[p]:
                 trial[p] = at
                 continue
             done = False
             firm = h + damping[p] * np.diag(np.diag(h)) + 1e-6 * (np.trace(h) / len(gap) + 1) * np.eye(len(gap))
-            trial[p] = np.clip(at + np.clip(np.linalg.solve(firm, gap), -3, 3), -15, 15)
+            trial[p] = at + np.clip(np.linalg.solve(firm, gap), -3, 3)  # no step of more than 3, however flat the dual
         if done:
             break
-    return {p: best[p][1] for p in plans}, base
+    return {p: best[p][1] for p in plans}, base, met
 
 
 def _pivotal(rows: list[tuple[str, float]], rng: random.Random) -> tuple[list[str], tuple[str, float] | None]:
@@ -169,9 +181,9 @@ def pivotal_sample(probs: DataFrame, seed: int = 0, bucket_rows: int = 20_000) -
 def sample(docs: DataFrame, entity_types: DataFrame, sample_plans: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(``plan_id, did, reason``, the report with one row per plan line).
 
-    The report: ``plan_id, dataset, code, target, available, min_mentions, sampled, gap, met, reachable``; ``target`` is
-    the plan's share of its fraction of all typed mentions of the dataset's train records, ``reachable`` whether the mentions
-    available reach both target and minimum. After the draw, records are added until each type that can has its
+    The report: ``plan_id, dataset, code, target, available, expected, min_mentions, sampled, gap, met, reachable, converged``; ``target`` is
+    the plan's share of its fraction of all typed mentions of the dataset's train records, ``expected`` the mentions of the calibrated probabilities. A line
+    is not ``reachable`` if all records of its type have probability 1 and still fall short of the target, or if the finished sample lacks its minimum. After the draw, records are added until each type that can has its
     minimum: no more of them than the minimum asks for.
     """
     spark = docs.sparkSession
@@ -180,19 +192,23 @@ def sample(docs: DataFrame, entity_types: DataFrame, sample_plans: DataFrame, se
     patterns = counts.select("dataset", _merged(F.col("code_n")).alias("pattern")).groupBy("dataset", "pattern").agg(F.count("*").alias("w"))
     totals = {r.dataset: r.n for r in counts.groupBy("dataset").agg(F.sum("mentions").alias("n")).collect()}
     per_code = {(r.dataset, r.code): r.n for r in counts.select("dataset", F.explode("code_n").alias("code", "n")).groupBy("dataset", "code").agg(F.sum("n").alias("n")).collect()}
-    exact, targets = {}, {}
+    exact, targets, certain = {}, {}, {}
     for p, v in plans.items():
         exact[p] = [s * v["fraction"] * totals.get(v["dataset"], 0) for s in v["shares"]]  # millionths of mentions
-        targets[p] = np.array([min(t / 1e6, 0.995 * per_code.get((v["dataset"], c), 0)) for t, c in zip(exact[p], v["codes"], strict=True)])
-    duals, base = calibrate(cut(patterns), plans, targets)
-    lam = spark.createDataFrame([(p, v["dataset"], v["codes"], [float(x) for x in duals[p]], float(base[p])) for p, v in plans.items()], "plan_id int, dataset string, codes array<string>, lam array<double>, base double")
+        known = [per_code.get((v["dataset"], c), 0) for c in v["codes"]]
+        certain[p] = [i for i, (t, n) in enumerate(zip(exact[p], known, strict=True)) if t >= n * 1_000_000 and n]
+        targets[p] = np.minimum(np.array(exact[p]) / 1e6, known)
+    duals, base, done = calibrate(cut(patterns), plans, targets, certain)
+    lam = spark.createDataFrame([(p, v["dataset"], v["codes"], [float(x) for x in duals[p]], float(base[p]), [v["codes"][i] for i in certain[p]]) for p, v in plans.items()], "plan_id int, dataset string, codes array<string>, lam array<double>, base double, sure array<string>")
     tilt = F.aggregate(F.zip_with("codes", "lam", lambda c, m: m * F.coalesce(F.try_element_at("code_n", c), F.lit(0))), F.lit(0.0), lambda a, x: a + x)
-    probs = counts.join(F.broadcast(lam), "dataset").select("plan_id", "did", F.least(F.lit(1.0), F.col("base") * F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), tilt)))).alias("p"))
-    drawn = pivotal_sample(probs, seed)
+    p = F.when(F.exists("sure", lambda c: F.coalesce(F.try_element_at("code_n", c), F.lit(0)) > 0), 1.0).otherwise(F.least(F.lit(1.0), F.col("base") * F.exp(F.least(F.lit(_TOP), tilt))))
+    each = counts.join(F.broadcast(lam), "dataset").select("plan_id", "did", "code_n", p.alias("p"))
+    drawn = pivotal_sample(each.select("plan_id", "did", "p"), seed)
+    held = each.select("plan_id", "p", F.explode("code_n").alias("code", "n")).groupBy("plan_id", "code").agg(F.sum("n").alias("available"), F.sum(F.col("p") * F.col("n")).alias("expected"), F.min("p").alias("least_p"))
 
     lines = spark.createDataFrame(
-        [(p, v["dataset"], c, float(t / 1e6), per_code.get((v["dataset"], c), 0), f, per_code.get((v["dataset"], c), 0) * 1_000_000 >= t and per_code.get((v["dataset"], c), 0) >= f) for p, v in plans.items() for c, t, f in zip(v["codes"], exact[p], v["floors"], strict=True)],
-        "plan_id int, dataset string, code string, target double, available bigint, min_mentions int, reachable boolean",
+        [(p, v["dataset"], c, float(t / 1e6), int(t), f, done.get(p, True)) for p, v in plans.items() for c, t, f in zip(v["codes"], exact[p], v["floors"], strict=True)],
+        "plan_id int, dataset string, code string, target double, millionths bigint, min_mentions int, converged boolean",
     )
     long_counts = counts.select("did", F.explode("code_n").alias("code", "n"))
     got = drawn.join(long_counts, "did").groupBy("plan_id", "code").agg(F.sum("n").alias("got"))
@@ -203,9 +219,10 @@ def sample(docs: DataFrame, entity_types: DataFrame, sample_plans: DataFrame, se
     added = ranked.withColumn("so_far", F.sum("n").over(order) - F.col("n")).where("so_far < lack").select("plan_id", "did").distinct()
     chosen = cut(drawn.select("plan_id", "did", F.lit("drawn").alias("reason")).unionByName(added.select("plan_id", "did", F.lit("minimum").alias("reason"))))
     final = chosen.join(long_counts, "did").groupBy("plan_id", "code").agg(F.sum("n").alias("sampled"))
-    sampled = F.coalesce("sampled", F.lit(0))
-    out = lines.join(final, ["plan_id", "code"], "left").select(
-        "plan_id", "dataset", "code", "target", "available", "min_mentions", sampled.alias("sampled"), (F.col("target") - sampled).alias("gap"),
-        ((sampled >= F.col("min_mentions")) & (sampled >= F.floor("target"))).alias("met"), "reachable",
+    sampled, available = F.coalesce("sampled", F.lit(0)), F.coalesce("available", F.lit(0))
+    exhausted = (F.coalesce("least_p", F.lit(1.0)) >= 1) & (available * 1_000_000 < F.col("millionths"))
+    out = lines.join(final, ["plan_id", "code"], "left").join(held, ["plan_id", "code"], "left").select(
+        "plan_id", "dataset", "code", "target", available.alias("available"), F.coalesce("expected", F.lit(0.0)).alias("expected"), "min_mentions", sampled.alias("sampled"), (F.col("target") - sampled).alias("gap"),
+        ((sampled >= F.col("min_mentions")) & (sampled >= F.floor("target"))).alias("met"), (~exhausted & (sampled >= F.col("min_mentions"))).alias("reachable"), "converged",
     )
     return chosen, out
