@@ -39,8 +39,8 @@ def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": sizes})
 
-    one = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text").where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.mapInPandas(count, "doc_id bigint, source string, tokens bigint")
+    known = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text").where("doc_id is not null")
+    return known.mapInPandas(count, "doc_id bigint, source string, tokens bigint").dropDuplicates(["doc_id"])
 
 
 def blocks(sizes: DataFrame, block_tokens: int, seed: int = 0, bucket_tokens: int = 20_000_000) -> DataFrame:
@@ -89,14 +89,16 @@ def schedule(plans: DataFrame, slots: int, chunk: int = 65_536, max_plan_rows: i
     return hit.withColumn("t", turn).join(before, ["plan_id", "source", "chunk"]).select("plan_id", "slot", "source", (F.col("base") + F.col("t")).alias("turn"))
 
 
-def mix(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed: int = 0, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def mix(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed: int = 0, tokenizer: str = TOKENIZER, least_slots: int = 65_536) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(sizes, the blocks of each source, the filled slots ``plan_id, slot, source, block, epoch, tokens``, all tokens).
 
     A source gives its blocks in turn, again from the first when all are used, but no more than ``max_repeats``
-    times; later slots of that source stay unfilled with a null block and 0 tokens.
+    times; later slots of that source stay unfilled with a null block and 0 tokens. A collection of fewer than ``least_slots`` blocks is
+    cut to smaller ones, so that small weights get slots enough.
     """
     sizes = cut(token_sizes(docs, tokenizer))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    block_tokens = max(1, min(block_tokens, total // least_slots))
     cuts = blocks(sizes, block_tokens, seed)
     per_block = cuts.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
     number = per_block.groupBy("source").agg((F.max("block") + 1).alias("n_blocks"))
@@ -108,20 +110,25 @@ def mix(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed: int
     return sizes, cuts, filled, total
 
 
+def mixed_records(cuts: DataFrame, filled: DataFrame) -> DataFrame:
+    """``plan_id, slot, epoch, source, doc_id``: the mix itself, the records of each filled slot; a slot is a block, whose records are shuffled."""
+    return filled.where("block is not null").select("plan_id", "slot", "epoch", "source", "block").join(cuts.select("source", "block", "doc_id"), ["source", "block"]).select("plan_id", "slot", "epoch", "source", "doc_id")
+
+
 def report(docs: DataFrame, plans: DataFrame, block_tokens: int = 20_000, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
     """``plan_id, source, weight_pm, max_repeats, size, total, slots, unfilled, tokens, share, short``: one row per plan line.
 
-    ``share`` is the actual share of the mixed tokens; ``short`` is checked on exact sizes: the source, repeated as
-    often as it may be, is smaller than its weight of all documents (those without a source or plan line included).
+    ``share`` is the actual share of the mixed tokens. A line falls ``short`` if slots of its stay unfilled when its source
+    has given all blocks as often as it may; ``total`` counts all documents (those without a source or plan line included), and the slots are as
+    many as its blocks. A source without documents fills none.
     """
     sizes, _, filled, total = mix(docs, plans, block_tokens, seed, tokenizer)
     own = sizes.groupBy("source").agg(F.sum("tokens").alias("size"))
     got = filled.groupBy("plan_id", "source").agg(F.count("*").alias("slots"), F.count_if(F.col("block").isNull()).alias("unfilled"), F.sum("tokens").alias("tokens"))
     lines = plans.where("plan_id is not null and source is not null").dropDuplicates(["plan_id", "source"]).select("plan_id", "source", F.coalesce("weight_pm", F.lit(0)).alias("weight_pm"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
     joined = lines.join(got, ["plan_id", "source"], "left").join(own, "source", "left").withColumn("total", F.lit(total).cast("bigint"))
-    size = F.coalesce("size", F.lit(0))
+    none = F.lit(0)
     return joined.select(
-        "plan_id", "source", "weight_pm", "max_repeats", size.alias("size"), "total", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("unfilled", F.lit(0)).alias("unfilled"),
-        F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.nullif(F.sum("tokens").over(W.partitionBy("plan_id")), F.lit(0))).alias("share"),
-        (F.col("max_repeats") * size * 1000 < F.col("weight_pm") * F.col("total")).alias("short"),
+        "plan_id", "source", "weight_pm", "max_repeats", F.coalesce("size", none).alias("size"), "total", F.coalesce("slots", none).alias("slots"), F.coalesce("unfilled", none).alias("unfilled"),
+        F.coalesce("tokens", none).alias("tokens"), (F.coalesce("tokens", none) / F.nullif(F.sum("tokens").over(W.partitionBy("plan_id")), none)).alias("share"), (F.coalesce("unfilled", none) > 0).alias("short"),
     )

@@ -79,6 +79,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_plans"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    _, cuts, filled, _ = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_plans"))
+    return mixing.mixed_records(cuts, filled)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_subjects(spark, d).select("doc_id", "subject")
 
@@ -92,7 +97,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_ngrams, p3_found, p3_report, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_rates, p7_found, p7_items, p8_found, p8_shares, p9_found, p9_subjects, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_ngrams, p3_found, p3_report, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_rates, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_subjects, p9_composition)}
 
 
 _TYPE_KEY = "regexp_replace(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g')"

@@ -194,6 +194,22 @@ def test_calibrated_sample(spark):
     assert calibrate.sample(d.limit(0), types, plans)[1].where("reachable").count() == 0
 
 
+def test_sample_of_all_there_is(spark):
+    rng = random.Random(14)
+    rows = [(f"d{i}", "x y", "train", [(0, 1, rng.choice("AAB"), "x") for _ in range(rng.randint(1, 3))]) for i in range(600)]
+    types = spark.createDataFrame([("ncbi", "A", "a"), ("ncbi", "B", "b")], "dataset string, code string, full_name string")
+    mentions = [e[2] for r in rows for e in r[3]]
+    pm = mentions.count("B") * 1000 / len(mentions)
+    plans = spark.createDataFrame([(1, "ncbi", "A", 1000, 1000, 1), (2, "ncbi", "A", 1000 - int(pm), 1000, 1), (2, "ncbi", "B", int(pm), 1000, 1), (3, "ncbi", "B", int(pm) + 1, 1000, 1), (3, "ncbi", "A", 100, 1000, 1)], "plan_id int, dataset string, code string, share_pm int, fraction_pm int, min_mentions int")
+    chosen, report = calibrate.sample(docs(spark, rows), types, plans)
+    r = {(x.plan_id, x.code): x for x in report.collect()}
+    assert r[1, "A"].sampled == r[1, "A"].available == mentions.count("A") and not r[1, "A"].reachable and r[1, "A"].converged
+    assert r[2, "B"].reachable and not r[2, "A"].reachable and r[2, "A"].sampled == mentions.count("A")
+    assert not r[3, "B"].reachable and r[3, "B"].sampled == mentions.count("B") and r[3, "A"].reachable
+    for x in r.values():
+        assert x.reachable == (x.available * 1_000_000 >= round(x.target * 1_000_000) and x.available >= x.min_mentions)
+
+
 def test_pivotal():
     n = 4000
     p = np.random.default_rng(9).uniform(0, 1, 40)
@@ -328,6 +344,23 @@ def test_mixing(spark):
     assert mixing.report(d.limit(0), plans).where("tokens > 0").count() == 0
 
 
+def test_short_sources_by_exact_sizes(spark):
+    rng = random.Random(15)
+    d = spark.createDataFrame([(i, rng.choice("aaaabbc"), " ".join(["word"] * rng.randint(1, 60))) for i in range(2000)], "doc_id bigint, source string, text string")
+    own = {r.source: r.n for r in mixing.token_sizes(d).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    total = sum(own.values())
+    lines = [(k, s, int(own[s] * n * 1000 * room / total), n) for k, room in enumerate((0.5, 0.9, 1.1, 2.0)) for s, n in (("a", 1), ("b", 2), ("c", 3))]
+    # A plan's weights are shares of their sum, so each line is a plan of its own with the rest on another source.
+    alone = [(100 + i, s, w, n) for i, (_, s, w, n) in enumerate(lines) if w < 1000] + [(100 + i, "other", 1000 - w, 1) for i, (_, s, w, n) in enumerate(lines) if w < 1000]
+    plans = spark.createDataFrame(alone, "plan_id int, source string, weight_pm int, max_repeats int")
+    for r in mixing.report(d, plans).where("source <> 'other'").collect():
+        assert r.short == (r.max_repeats * r.size * 1000 < r.weight_pm * r.total), r
+    _, cuts, filled, _ = mixing.mix(d, plans)
+    mixed = mixing.mixed_records(cuts, filled)
+    assert mixed.groupBy("plan_id", "doc_id", "epoch").count().where("count > 1").count() == 0
+    assert mixed.join(plans, ["plan_id", "source"]).where("epoch >= max_repeats").count() == 0 and mixed.count() > 2000
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 def test_subjects(spark):
     law, med = "The court heard the plaintiff and the tribunal upheld the statute.", "The nurse checked the catheter and the surgeon closed the incision."
