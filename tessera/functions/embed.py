@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import path_exists
+
 DIM = 16
 
 
@@ -38,11 +40,7 @@ def cached_vectors(texts: DataFrame, column: str, path: str, model: Callable[[],
     """``text, vec`` of the distinct texts: those not yet in the table at ``path`` are encoded and appended to it."""
     spark, schema = texts.sparkSession, "text string, vec array<float>"
     asked = texts.select(F.col(column).alias("text")).where("text is not null").distinct()
-    try:
-        known = spark.read.schema(schema).parquet(path)
-        known.limit(1).count()
-    except Exception:  # noqa: BLE001
-        known = spark.createDataFrame([], schema)
+    known = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
     encode(asked.join(known, "text", "left_anti"), "text", model).select("text", F.col("vec").cast("array<float>").alias("vec")).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path).dropDuplicates(["text"]).join(asked, "text", "left_semi")
 

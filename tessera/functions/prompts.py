@@ -45,11 +45,16 @@ WORDS = {
 }
 
 
-def generation_prompt(sentence: Column, demos: Column, types: list[str], lang: str = "en", hint: str | None = None) -> Column:
-    """Task, demonstrations (``array<struct<text, ents>>``, most similar last) and the sentence, parted by blank lines."""
+def generation_prompt(sentence: Column, demos: Column, types: list[str] | Column, lang: str | Column = "en", hint: str | None = None) -> Column:
+    """Task, demonstrations (``array<struct<text, ents>>``, most similar last) and the sentence, parted by blank lines.
+
+    Types and language may be columns: then each row has its own; an unknown language is English.
+    """
+    if isinstance(lang, Column):
+        return F.when(lang == "zh", generation_prompt(sentence, demos, types, "zh", hint)).otherwise(generation_prompt(sentence, demos, types, "en", hint))
     w = WORDS[lang]
     task, after = w["task"].split("{types}")
-    head = F.concat(F.lit(task), types_phrase(F.array(*[F.lit(t) for t in types]), lang), F.lit(after))
+    head = F.concat(F.lit(task), types_phrase(types if isinstance(types, Column) else F.array(*[F.lit(t) for t in types]), lang), F.lit(after))
     shown = F.transform(demos, lambda d: F.concat(F.lit(f"{w['in']}: "), d["text"], F.lit(f"\n{w['out']}: "), entities_json(d["ents"])))
     tail = F.concat(F.lit(f"{w['in']}: "), sentence, F.lit(f"\n{w['out']}:"))
     parts = [head, F.lit('{"named_entities": [{"name": "...", "type": "..."}]}')] + ([F.lit(f"{w['hint']}: {hint}")] if hint else [])

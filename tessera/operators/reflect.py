@@ -27,10 +27,33 @@ def mock_responder(rows: DataFrame, kind: str) -> DataFrame:
     return rows.withColumn("answer", F.concat(F.lit("Final predicted entities: "), entities_json(items)))
 
 
-def _prompt(kind: str, text: Column, candidates: Column, types: Column) -> Column:
-    """Sentence, candidates and types; the pass's question."""
-    ask = {"unseen": "Which of these unseen words belong to an entity of the types", "fn": "Which of these words were missed as entities of the types", "boundary": "Which words belong to this entity of the types"}[kind]
-    return F.concat_ws("\n\n", F.concat(F.lit("Text: "), text), F.concat(F.lit("Candidates: "), F.array_join(F.transform(candidates, quoted), ", ")), F.concat(F.lit(ask + " "), types_phrase(types, "en"), F.lit("?")))
+#: What each pass asks, and how to answer: parsers look for these markers.
+ASK = {
+    "en": {
+        "unseen": "These words never stood in the training texts. Which of them belong to an entity of the types", "fn": "In the training texts these words mostly belong to entities, but none was found here. Which of them belong to an entity of the types",
+        "boundary": "These words at the edges of the entity are doubtful. What is the whole entity, of one of the types", "text": "Text", "words": "Candidates", "entity": "Entity", "end": "?",
+        "add": 'Think step by step, then end with one line: Final predicted entities: {"named_entities": [{"name": "...", "type": "..."}]}. Give an empty list if there is none.',
+        "edit": 'Think step by step, then end with one line: Updated Predicted Entity: {"name": "...", "type": "..."}. Give {} if it is no entity, and the same name if it is right.',
+    },
+    "zh": {
+        "unseen": "以下词语在训练文本中从未出现。其中哪些属于以下类型的实体：", "fn": "以下词语在训练文本中多属于实体，但这里没有找到。其中哪些属于以下类型的实体：",
+        "boundary": "以下位于实体边缘的词语存疑。完整的实体是什么，类型为其中之一：", "text": "文本", "words": "候选", "entity": "实体", "end": "？",
+        "add": '请逐步思考，最后一行写：最终预测实体: {"named_entities": [{"name": "...", "type": "..."}]}。没有则给出空列表。',
+        "edit": '请逐步思考，最后一行写：修正后的预测实体: {"name": "...", "type": "..."}。不是实体则写 {}，正确则写原来的名称。',
+    },
+}
+
+
+def _prompt(kind: str, text: Column, candidates: Column, types: Column, dataset: Column, entity: Column | None = None) -> Column:
+    """Sentence, candidates, for an edge the entity, the question of the pass and the form of the answer, in the language of the dataset's texts."""
+
+    def worded(lang: str) -> Column:
+        w = ASK[lang]
+        parts = [F.concat(F.lit(f"{w['text']}: "), text), F.concat(F.lit(f"{w['words']}: "), F.array_join(F.transform(candidates, quoted), ", "))]
+        parts += [] if entity is None else [F.concat(F.lit(f"{w['entity']}: "), entity)]
+        return F.concat_ws("\n\n", *parts, F.concat(F.lit(w[kind] + " "), types_phrase(types, lang), F.lit(w["end"])), F.lit(w["edit" if kind == "boundary" else "add"]))
+
+    return F.when(char_level(dataset), worded("zh")).otherwise(worded("en"))
 
 
 def evidence(hits: DataFrame, units: DataFrame, stats: DataFrame, library: DataFrame, kind: str, settings: Settings, lang: str = "en") -> DataFrame:
@@ -60,7 +83,7 @@ def add_pass(state: DataFrame, stats: DataFrame, kind: str, responder: Responder
     units = T.annotated(state, stats)
     hits = T.unseen_triggers(units, settings.C, settings.surround) if kind == "unseen" else T.fn_triggers(units, settings.theta_fn)
     asked = hits.groupBy("did").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x")).select("did", F.col("x.pos").alias("anchors"), F.col("x.token").alias("tokens"))
-    rows = state.join(asked, "did").withColumn("prompt", _prompt(kind, F.col("text"), F.col("tokens"), F.col("types")))
+    rows = state.join(asked, "did").withColumn("prompt", _prompt(kind, F.coalesce("text", F.lit("")), F.col("tokens"), F.col("types"), F.col("dataset")))
     if library is not None:
         rows = rows.join(evidence(hits, units, stats, library, kind, settings), "did", "left").withColumn("prompt", F.concat_ws("\n\n", "prompt", "evidence")).drop("evidence")
     items = responder(rows, kind).select("dataset", "did", "units", "types", "spans", "anchors", F.posexplode(reflected_entities(F.col("answer"))).alias("place", "i"))
@@ -86,7 +109,7 @@ def boundary_pass(state: DataFrame, stats: DataFrame, responder: Responder, sett
     rows = state.join(asked, "did").withColumn("s", F.get("spans", F.col("span_ord"))).select("*", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.type").alias("type"))
     rows = rows.withColumn("name", joined(F.col("units"), F.col("start"), F.col("end"), char_level(F.col("dataset"))))
     rows = rows.withColumn("new_end", F.when(F.array_contains("doubt", F.col("end") - 1), F.col("end") - 1).otherwise(F.col("end")))
-    rows = rows.withColumn("new_name", joined(F.col("units"), F.col("start"), F.col("new_end"), char_level(F.col("dataset")))).withColumn("prompt", _prompt("boundary", F.col("text"), F.col("tokens"), F.col("types")))
+    rows = rows.withColumn("new_name", joined(F.col("units"), F.col("start"), F.col("new_end"), char_level(F.col("dataset")))).withColumn("prompt", _prompt("boundary", F.coalesce("text", F.lit("")), F.col("tokens"), F.col("types"), F.col("dataset"), F.concat(quoted(F.col("name")), F.lit(" "), quoted(F.col("type")))))
     if library is not None:
         proof = evidence(hits.select("did", "pos", "token").distinct(), T.annotated(state, stats), stats, library, "boundary", settings)
         rows = rows.join(proof, "did", "left").withColumn("prompt", F.concat_ws("\n\n", "prompt", "evidence")).drop("evidence")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -132,103 +133,139 @@ def _token_scan(shared, n: int, step: int, dense: int):
     return scan
 
 
-def sentence_vectors(records: DataFrame, weights: DataFrame, vector: Column | None = None, dim: int = DIM, max_vocabulary: int = 200_000) -> DataFrame:
+def sentence_vectors(records: DataFrame, weights: DataFrame, vector: Column | None = None, dim: int = DIM, max_vocabulary: int = 200_000, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``dataset, did, ord, vec``: the weighted sum of token vectors over all occurrences, in integers (weights in thousandths).
 
-    Tokens are counted within the record, and hashed once each, before they meet. Records without units have no vector.
+    Tokens are counted within the record, and hashed once each, before they meet. Records without units have no vector. An ``embedder`` gives
+    ``text, vec`` of ``dim`` numbers for the texts of a one-column frame, in place of the hashes (``functions.embed.cached_vectors`` does with any model).
     """
     counted = records.select("dataset", "did", "ord", F.explode("units").alias("token")).groupBy("dataset", "did", "ord", "token").agg(F.count("*").alias("n"))
-    tokens = vocabulary(records).join(weights, ["dataset", "token"], "left").select("dataset", "token", F.floor(F.coalesce("w", F.lit(UNSEEN)) / 1000).cast("bigint").alias("m"), (hash_vector(F.col("token"), dim) if vector is None else vector).alias("v"))
+    tokens = vocabulary(records).join(weights, ["dataset", "token"], "left").select("dataset", "token", F.floor(F.coalesce("w", F.lit(UNSEEN)) / 1000).cast("bigint").alias("m"), (F.lit(None) if embedder else hash_vector(F.col("token"), dim) if vector is None else vector).alias("v"))
+    if embedder:
+        tokens = tokens.drop("v").join(embedder(tokens.select(F.col("token").alias("text")).distinct()).select(F.col("text").alias("token"), F.col("vec").alias("v")), "token")
     parts = counted.join(broadcast_if_small(cut(tokens), max_vocabulary), ["dataset", "token"])
     sums = parts.groupBy("dataset", "did", "ord").agg(*[F.sum(F.col("n") * F.col("m") * F.col("v")[i]).alias(f"v{i}") for i in range(dim)])
     return sums.select("dataset", "did", "ord", F.array(*[F.col(f"v{i}") for i in range(dim)]).alias("vec"))
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, block: int = 2048, max_queries: int = 200_000) -> DataFrame:
+def _in_blocks(queries: DataFrame, most: int, scan: Callable[[list], DataFrame]) -> DataFrame:
+    """The union of ``scan`` over the queries' rows in blocks of about ``most``, each a pass over the pool: any number of queries, a bounded broadcast."""
+    blocks = max(1, -(-queries.count() // most))
+    parts = [scan((queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("did"), F.lit(blocks)) == b)).collect()) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the ``k`` largest of each row above minus infinity; of equal ones the later columns."""
+    keep = score > -np.inf
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
+        keep &= score >= least[:, None]
+        for i in np.flatnonzero(keep.sum(axis=1) > k):
+            tied = np.flatnonzero(keep[i] & (score[i] == least[i]))
+            keep[i, tied[: keep[i].sum() - k]] = False
+    return np.nonzero(keep)
+
+
+def _cosines(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """0 where either norm is 0. Integers whose products fit a double are multiplied as such, which is exact."""
+    exact = q.dtype.kind == "i" and float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * q.shape[1] >= 2**53
+    dot = (q @ p.T).astype(float) if exact else q.astype(float) @ p.astype(float).T
+    den = np.sqrt((q * q).sum(1).astype(float))[:, None] * np.sqrt((p * p).sum(1).astype(float))[None, :]
+    return np.divide(dot, den, out=np.zeros_like(den), where=den > 0)
+
+
+def _array(vecs: list) -> np.ndarray:
+    return np.array(vecs, np.int64 if isinstance(vecs[0][0], int) else float)
+
+
+def nearest(queries: DataFrame, pool: DataFrame, k: int, block: int = 100_000, step: int = 512) -> DataFrame:
     """``did, pool_did, pool_ord, cos``: the ``k`` pool vectors most similar to each query, exactly (``dataset, did, ord, vec``).
 
-    Queries are a bounded set: up to ``max_queries`` of them go to every task in blocks, each task keeps its best ``k`` a query,
+    Any number of queries: blocks of about ``block`` of them go to every task, a pass over the pool each; a task keeps the best ``k`` a query of each batch,
     and only those are ranked against each other. A zero vector has cosine 0 with all others. Ties go to the later record.
     """
     spark = queries.sparkSession
-    rows = queries.select("dataset", "did", "vec").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    by_set: dict = {}
-    for r in rows:
-        by_set.setdefault(r.dataset, ([], []))
-        by_set[r.dataset][0].append(r.did)
-        by_set[r.dataset][1].append(r.vec)
-    shared = spark.sparkContext.broadcast({d: (np.array(i, object), np.array(v, np.int64 if isinstance(v[0][0], int) else float)) for d, (i, v) in by_set.items()})
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, part in pdf.groupby("dataset", dropna=False):
-                ids, vecs = shared.value.get(name, (None, None))
-                if ids is None:
-                    continue
-                p = np.stack(part["vec"].to_numpy())
-                dids, ords = part["did"].to_numpy(), part["ord"].to_numpy()
-                p_norm = np.sqrt((p * p).sum(1).astype(float))
-                for a in range(0, len(ids), block):
-                    q, own = vecs[a : a + block], ids[a : a + block]
-                    den = np.sqrt((q * q).sum(1).astype(float))[:, None] * p_norm[None, :]
-                    cos = np.divide((q @ p.T).astype(float), den, out=np.zeros_like(den), where=den > 0)
-                    cos[own[:, None] == dids[None, :]] = -9
-                    order = np.lexsort((np.broadcast_to(-ords, cos.shape), -cos), axis=1)[:, :k]
-                    keep = np.take_along_axis(cos, order, 1) > -9
-                    i = np.repeat(np.arange(len(own)), keep.sum(1))
-                    j = order[keep]
-                    yield pd.DataFrame({"did": own[i], "pool_did": dids[j], "pool_ord": ords[j], "cos": cos[i, j]})
-
-    best = pool.select("dataset", "did", "ord", "vec").mapInPandas(scan, "did string, pool_did string, pool_ord bigint, cos double")
-    return ranked(best, "cos", k)
-
-
-def hybrid_nearest(queries: DataFrame, pool: DataFrame, weights: DataFrame, n: int, lambda1: float = 1.0, lambda2: float = 1.0, max_queries: int = 50_000) -> DataFrame:
+    def of(rows: list) -> DataFrame:
+        by_set: dict = {}
+        for r in rows:
+            by_set.setdefault(r.dataset, []).append(r)
+        shared = spark.sparkContext.broadcast({d: (np.array([r.did for r in x], object), _array([r.vec for r in x])) for d, x in by_set.items()})
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for name, part in pdf.groupby("dataset", dropna=False):
+                    if name not in shared.value:
+                        continue
+                    ids, vecs = shared.value[name]
+                    part = part.sort_values(["ord", "did"])
+                    p, dids, ords = np.stack(part["vec"].to_numpy()), part["did"].to_numpy(), part["ord"].to_numpy()
+                    for a in range(0, len(ids), step):
+                        own = ids[a : a + step]
+                        cos = _cosines(vecs[a : a + step], p)
+                        cos[own[:, None] == dids[None, :]] = -np.inf
+                        i, j = _top(cos, k)
+                        yield pd.DataFrame({"did": own[i], "pool_did": dids[j], "pool_ord": ords[j], "cos": cos[i, j]})
+
+        return pool.select("dataset", "did", "ord", "vec").mapInPandas(scan, "did string, pool_did string, pool_ord bigint, cos double")
+
+    return ranked(_in_blocks(queries.select("dataset", "did", "vec"), block, of), "cos", k)
+
+
+def hybrid_nearest(queries: DataFrame, pool: DataFrame, weights: DataFrame, n: int, lambda1: float = 1.0, lambda2: float = 1.0, block: int = 16_384, step: int = 256) -> DataFrame:
     """``did, pool_did, pool_ord, score``: the ``n`` pool records of highest lambda1 * token score + lambda2 * cosine, in millionths.
 
-    Both sides have ``dataset, did, ord, units, vec``. The stated queries, at most ``max_queries``, go to every task with their
-    weighted tokens; a task scores its pool rows against all of them and passes on its best ``n`` a query.
+    Both sides have ``dataset, did, ord, units, vec``. Any number of queries: blocks of about ``block`` go to every task with their
+    weighted tokens, a pass over the pool each; a task scores its rows against ``step`` queries at a time and passes on its best ``n`` a query.
     """
     spark = queries.sparkSession
     toks = queries.select("dataset", "did", "vec", F.explode(F.array_distinct("units")).alias("token")).join(weights, ["dataset", "token"], "left").select("dataset", "did", "vec", F.struct("token", F.coalesce("w", F.lit(UNSEEN)).alias("w")).alias("x"))
-    rows = toks.groupBy("dataset", "did").agg(F.first("vec").alias("vec"), F.collect_list("x").alias("x")).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    sides: dict = {}
-    for r in rows:
-        ids, vecs, post = sides.setdefault(r.dataset, ([], [], {}))
-        for t in r.x:
-            post.setdefault(t.token, ([], []))[0].append(len(ids))
-            post[t.token][1].append(t.w)
-        ids.append(r.did)
-        vecs.append(r.vec)
-    shared = spark.sparkContext.broadcast({d: (np.array(i, object), np.array(v, np.int64), {t: (np.array(a), np.array(w)) for t, (a, w) in p.items()}) for d, (i, v, p) in sides.items()})
+    sides = cut(toks.groupBy("dataset", "did").agg(F.first("vec").alias("vec"), F.collect_list("x").alias("x")))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, part in pdf.groupby("dataset", dropna=False):
-                if name not in shared.value:
-                    continue
-                ids, q, post = shared.value[name]
-                p = np.stack(part["vec"].to_numpy())
-                dids, ords = part["did"].to_numpy(), part["ord"].to_numpy()
-                tokens = np.zeros((len(ids), len(p)), np.int64)
-                for j, units in enumerate(part["units"]):
-                    for t in set(units):
-                        if t in post:
-                            tokens[post[t][0], j] += post[t][1]
-                den = np.sqrt((q * q).sum(1).astype(float))[:, None] * np.sqrt((p * p).sum(1).astype(float))[None, :]
-                cos = np.divide((q @ p.T).astype(float), den, out=np.zeros_like(den), where=den > 0)
-                score = np.floor(tokens * lambda1 + np.floor(cos * 1_000_000) * lambda2).astype(np.int64)
-                score[ids[:, None] == dids[None, :]] = np.iinfo(np.int64).min
-                order = np.lexsort((np.broadcast_to(-ords, score.shape), -score), axis=1)[:, :n]
-                keep = np.take_along_axis(score, order, 1) > np.iinfo(np.int64).min
-                i, j = np.repeat(np.arange(len(ids)), keep.sum(1)), order[keep]
-                yield pd.DataFrame({"did": ids[i], "pool_did": dids[j], "pool_ord": ords[j], "score": score[i, j]})
-
-    return ranked(pool.select("dataset", "did", "ord", "units", "vec").mapInPandas(scan, "did string, pool_did string, pool_ord bigint, score bigint"), "score", n)
+    def of(rows: list) -> DataFrame:
+        by_set: dict = {}
+        for r in rows:
+            ids, vecs, token, entry, weight = by_set.setdefault(r.dataset, ([], [], [], [], []))
+            for t in r.x:
+                token.append(t.token)
+                entry.append(len(ids))
+                weight.append(t.w)
+            ids.append(r.did)
+            vecs.append(r.vec)
+        made = {}
+        for d, (ids, vecs, token, entry, weight) in by_set.items():
+            names = {t: i for i, t in enumerate(dict.fromkeys(token))}
+            made[d] = np.array(ids, object), _array(vecs), names, np.array([names[t] for t in token]), np.array(entry), np.array(weight, float)
+        shared = spark.sparkContext.broadcast(made)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for name, part in pdf.groupby("dataset", dropna=False):
+                    if name not in shared.value:
+                        continue
+                    ids, vecs, names, token, entry, weight = shared.value[name]
+                    part = part.sort_values(["ord", "did"])
+                    p, dids, ords, m = np.stack(part["vec"].to_numpy()), part["did"].to_numpy(), part["ord"].to_numpy(), len(part)
+                    found = [[names[t] for t in set(u) if t in names] for u in part["units"]]
+                    has, place = np.array([t for x in found for t in x], np.int64), np.repeat(np.arange(m), [len(x) for x in found])
+                    by = np.argsort(has, kind="stable")
+                    has, place = has[by], place[by]
+                    for a in range(0, len(ids), step):
+                        own = ids[a : a + step]
+                        e = slice(*np.searchsorted(entry, (a, a + step)))
+                        first, last = np.searchsorted(has, token[e], "left"), np.searchsorted(has, token[e], "right")
+                        size = last - first
+                        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                        tokens = np.bincount(np.repeat(entry[e] - a, size) * m + place[at], np.repeat(weight[e], size), len(own) * m).reshape(len(own), m)
+                        score = np.floor(tokens * lambda1 + np.floor(_cosines(vecs[a : a + step], p) * 1_000_000) * lambda2)
+                        score[own[:, None] == dids[None, :]] = -np.inf
+                        i, j = _top(score, n)
+                        yield pd.DataFrame({"did": own[i], "pool_did": dids[j], "pool_ord": ords[j], "score": score[i, j].astype(np.int64)})
+
+        return pool.where("units is not null").select("dataset", "did", "ord", "units", "vec").mapInPandas(scan, "did string, pool_did string, pool_ord bigint, score bigint")
+
+    return ranked(_in_blocks(sides, block, of), "score", n)
 
 
 def demonstrations(picks: DataFrame, pool: DataFrame) -> DataFrame:

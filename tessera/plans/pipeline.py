@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.embed import DIM
 from tessera.functions.parse import generated_entities
-from tessera.functions.prompts import entities_json, generation_prompt
+from tessera.functions.prompts import cache_key, entities_json, generation_prompt
 from tessera.functions.spans import SPAN
 from tessera.operators import align, reflect, retrieval, stats
-from tessera.plans.config import DATASETS, Settings
+from tessera.plans.config import SETS, Settings, set_rows
 from tessera.runtime import cut
+from tessera.sources import cache
 from tessera.sources.corpus import corpus
 
 SPANS = f"array<{SPAN}>"
@@ -41,7 +46,7 @@ def rule_names(records: DataFrame) -> DataFrame:
 
 def rule_state(records: DataFrame) -> DataFrame:
     """``dataset, did, units, text, types, spans`` of the evaluation splits with the rule's predictions."""
-    first = F.coalesce(*[F.when(F.col("dataset") == d.name, F.array(*[F.lit(t) for t in d.types])) for d in DATASETS.values()], F.array(F.lit("X")))
+    first = F.coalesce(*[F.when(F.col("dataset") == d, F.array(*[F.lit(t) for t in types])) for d, (types, *_) in SETS.items()], F.array(F.lit("X")))
     return rule_predictions(records.where("split in ('dev', 'test')")).select("dataset", "did", "units", "text", first.alias("types"), F.array_distinct("pred").alias("spans"))
 
 
@@ -64,27 +69,70 @@ def token_picks(records: DataFrame, n: int = 8) -> DataFrame:
     return retrieval.ranked(retrieval.with_zero_scores(scores, q, pool, n), "s_token", n)
 
 
-def predict(docs: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(``dataset, did, gold, spans``, trace) for all evaluation records, with a deterministic generator in place of a model.
+DEMOS = "array<struct<text: string, ents: array<struct<name: string, type: string>>>>"
+
+
+def rule_generator(rows: DataFrame, kind: str) -> DataFrame:
+    """A deterministic generator: the entities of the demonstrations whose names stand in the text, as fenced JSON."""
+    told = F.filter(F.flatten(F.transform("demos", lambda d: d["ents"])), lambda e: F.contains(F.coalesce("text", F.lit("")), e["name"]))
+    return rows.withColumn("answer", F.concat(F.lit("```json\n"), entities_json(F.array_distinct(told)), F.lit("\n```")))
+
+
+def through_cache(path: str, client: Callable[[], Callable[[str], str]], model: str) -> reflect.Responder:
+    """A responder that asks a client (``sources.cache.http_client``) what the cache at ``path`` doesn't have; every request is asked and stored once."""
+
+    def respond(rows: DataFrame, kind: str) -> DataFrame:
+        keyed = cut(rows.withColumn("_key", cache_key(model, F.col("prompt"))))
+        got = cache.answered(keyed.select(F.col("_key").alias("key"), "prompt"), path, client).select(F.col("key").alias("_key"), F.col("text").alias("answer")).dropDuplicates(["_key"])
+        return keyed.join(got, "_key", "left").drop("_key")
+
+    return respond
 
-    Retrieval gives demonstrations, the generator answers each prompt (here: with the entities of the most similar demonstration that also stand in the sentence), the
-    answer is parsed and aligned, and for method m2 reflected upon. It is one plan; only the retrieval collects the queries' tokens, in blocks.
-    """
-    records = corpus(docs)
-    return predict_records(records, records.where("split in ('dev', 'test')"), settings or Settings())
 
+@dataclass(frozen=True)
+class Models:
+    """What a run asks: a generator and a responder (rows with ``prompt`` to rows with ``answer``), and token vectors (``sentence_vectors``), by default hashes."""
 
-def predict_records(records: DataFrame, queries: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """The same for the given query records; demonstrations and statistics come from the train split of ``records``."""
-    picks = cut(retrieval.token_nearest(queries, train(records), cut(stats.weighted(train_stats(records))), settings.n_shots))
+    generate: reflect.Responder = rule_generator
+    reflect: reflect.Responder = reflect.mock_responder
+    embedder: Callable[[DataFrame], DataFrame] | None = None
+    dim: int = DIM
+
+
+def predict(docs: DataFrame, settings: Settings | None = None, models: Models | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(``dataset, did, gold, spans``, trace) for all evaluation records: demonstrations, an answer to each prompt, spans, and for method m2 reflection."""
+    records = cut(corpus(docs))
+    return predict_records(records, records.where("split in ('dev', 'test')"), settings or Settings(), models)
+
+
+def demo_picks(records: DataFrame, queries: DataFrame, weights: DataFrame, settings: Settings, models: Models) -> DataFrame:
+    """The ``n_shots`` train records of the highest lambda1 * token score + lambda2 * cosine of sentence vectors; by tokens alone if lambda2 is 0."""
+    if not settings.lambda2:
+        return retrieval.token_nearest(queries, train(records), weights, settings.n_shots)
+    both = queries.select("dataset", "did", "ord", "units").withColumn("asks", F.lit(True)).unionByName(train(records).select("dataset", "did", "ord", "units").withColumn("asks", F.lit(False)))
+    vecs = retrieval.sentence_vectors(both.dropDuplicates(["did"]), weights, dim=models.dim, embedder=models.embedder).select("did", "vec")
+    sided = cut(both.join(vecs, "did"))
+    return retrieval.hybrid_nearest(sided.where("asks"), sided.where("not asks"), weights, settings.n_shots, settings.lambda1, settings.lambda2)
+
+
+def predict_records(records: DataFrame, queries: DataFrame, settings: Settings, models: Models | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The same for the given query records; demonstrations and statistics come from the train split of ``records``.
+
+    Types and language of the prompts are those of the dataset (an unknown one has the type X and English). Reflection shows counts and examples of the triggers.
+    """
+    models = models or Models()
+    counts = cut(train_stats(records, settings.C))
+    picks = cut(demo_picks(records, queries, cut(stats.weighted(counts)), settings, models))
     demos = retrieval.demonstrations(picks, train(records))
-    asked = queries.join(demos, "did", "left").withColumn("prompt", generation_prompt(F.coalesce("text", F.lit("")), F.coalesce("demos", F.array().cast("array<struct<text: string, ents: array<struct<name: string, type: string>>>>")), ["entity"]))
-    told = F.filter(F.flatten(F.transform(F.coalesce("demos", F.array().cast("array<struct<text: string, ents: array<struct<name: string, type: string>>>>")), lambda d: d["ents"])), lambda e: F.contains(F.coalesce("text", F.lit("")), e["name"]))
-    answered = asked.withColumn("answer", F.concat(F.lit("```json\n"), entities_json(F.array_distinct(told)), F.lit("\n```")))
+    known = set_rows(records.sparkSession).select("dataset", F.col("types").alias("types"), "lang")
+    asked = queries.join(F.broadcast(known), "dataset", "left").join(demos, "did", "left").withColumn("demos", F.coalesce("demos", F.array().cast(DEMOS))).withColumn("types", F.coalesce("types", F.array(F.lit("X"))))
+    asked = asked.withColumn("prompt", generation_prompt(F.coalesce("text", F.lit("")), F.col("demos"), F.col("types"), F.coalesce("lang", F.lit("en"))))
+    answered = cut(models.generate(asked, "generate").select("dataset", "did", "types", "answer"))
     preds = answered.select("did", F.posexplode(generated_entities(F.col("answer"))).alias("emit_ord", "x")).select("did", "emit_ord", "x.name", "x.type")
-    spans = align.aligned_spans(align.aligned(records, preds))
-    state = gold_spans(queries).join(spans, "did", "left").select("dataset", "did", "units", "text", "gold", F.array(F.lit("X")).alias("types"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    spans = align.aligned_spans(align.aligned(queries, preds))
+    state = gold_spans(queries).join(spans, "did", "left").join(answered.select("did", "types"), "did", "left").select("dataset", "did", "units", "text", "gold", "types", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
     if settings.method == "m1":
         return state.select("dataset", "did", "gold", "spans"), None
-    final, trace = reflect.reflect(state, train_stats(records), reflect.mock_responder, settings)
+    library = None if models.reflect is reflect.mock_responder else cut(stats.span_library(train(records)))
+    final, trace = reflect.reflect(state, counts, models.reflect, settings, library=library)
     return final.select("dataset", "did", "gold", "spans"), trace

@@ -147,6 +147,7 @@ SQL: dict[str, str] = {
     "vocabulary": f"WITH {D} SELECT dataset, count(DISTINCT token) AS n FROM u GROUP BY dataset",
     "inverted_index": f"WITH {D} SELECT dataset, token, count(DISTINCT did) AS n_docs, sum(ord)::BIGINT AS ord_sum FROM (SELECT DISTINCT dataset, token, did, ord FROM u WHERE split = 'train') GROUP BY ALL",
     "retrieve_token_topk": f"WITH {K}, {PICKS} SELECT did, pool_did, s_token, rank::BIGINT AS rank FROM picks",
+    "token_vectors_all": f"WITH {D}, v AS (SELECT DISTINCT dataset, token FROM u) SELECT dataset, token, i::INT AS dim, {BYTE}::BIGINT AS v FROM v, generate_series(0, 15) AS z(i)",
     "token_vectors": f"WITH {D}, v AS (SELECT DISTINCT dataset, token FROM u WHERE split IN ('dev', 'test') AND ord % 20 = 0) SELECT dataset, token, i::INT AS dim, {BYTE}::BIGINT AS v FROM v, generate_series(0, 15) AS z(i)",
     "sentence_vectors": f"WITH {K}, {VEC} SELECT did, dim::INT AS dim, v FROM vd",
     "retrieve_embed_topk": f"WITH {K}, {VEC}, {COS} SELECT did, pool_did, floor(c * 1000000)::BIGINT AS cos_ppm FROM (SELECT *, row_number() OVER (PARTITION BY did ORDER BY c DESC, pool_ord DESC, pool_did DESC) AS r FROM cs) WHERE r <= 8",

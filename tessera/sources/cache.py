@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import cut
+from tessera.runtime import cut, path_exists
 
 
 def hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -91,11 +91,7 @@ def answered(requests: DataFrame, cache_path: str, client: Callable[[], Callable
     """
     spark = requests.sparkSession
     schema = "key string, text string, prompt_tokens int, completion_tokens int, run_id int, written_at timestamp"
-    try:
-        known = spark.read.schema(schema).parquet(cache_path)
-        known.limit(1).count()
-    except Exception:  # noqa: BLE001
-        known = spark.createDataFrame([], schema)
+    known = spark.read.schema(schema).parquet(cache_path) if path_exists(spark, cache_path) else spark.createDataFrame([], schema)
     fresh = cut(respond(misses(requests, known), client))
     done = fresh.where("error is null").select("key", "text", F.lit(None).cast("int").alias("prompt_tokens"), F.lit(None).cast("int").alias("completion_tokens"), F.lit(run_id).alias("run_id"), F.current_timestamp().alias("written_at"))
     done.write.mode("append").parquet(cache_path)

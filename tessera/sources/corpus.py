@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.spans import bio_spans, bio_tag
-from tessera.plans.config import dataset
-from tessera.runtime import broadcast_if_small
+from tessera.plans.config import CMEEE_DISPLAY, known
+from tessera.runtime import broadcast_if_small, path_exists
 
 CMEEE = "text string, entities array<struct<start_idx: int, end_idx: int, type: string, entity: string>>"
 GENIA = "tokens array<string>, entities array<struct<start: int, end: int, type: string>>"
@@ -40,8 +40,8 @@ def load(spark: SparkSession, name: str, split: str, directory: str) -> DataFram
 
     Types are remapped to their display names where the dataset has such a map; ``{split}.json`` is preferred to ``{split}.jsonl``.
     """
-    spec = dataset(name)
-    path = next((p for p in (f"{directory}/{split}.json", f"{directory}/{split}.jsonl") if _exists(spark, p)), f"{directory}/{split}.json")
+    known(name)
+    path = next((p for p in (f"{directory}/{split}.json", f"{directory}/{split}.jsonl") if path_exists(spark, p)), f"{directory}/{split}.json")
     none = F.array().cast(ENTITIES)
     if name == "cmeee":
         raw = _ordered(read_records(spark, path, CMEEE), name, split)
@@ -57,13 +57,7 @@ def load(spark: SparkSession, name: str, split: str, directory: str) -> DataFram
         units, text = F.col("tokens"), F.array_join("tokens", " ")
         ents = bio_spans(F.col("tokens"), F.transform(F.coalesce("ner_tags", "tags"), bio_tag))
     out = raw.select("dataset", "split", "did", "ord", units.alias("units"), text.alias("text"), F.coalesce(ents, none).alias("entities"))
-    return remap_types(out, spec.remap) if spec.remap else out
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return remap_types(out, CMEEE_DISPLAY) if name == "cmeee" else out
 
 
 def remap_types(docs: DataFrame, remap: dict[str, str]) -> DataFrame:

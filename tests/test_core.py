@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tessera.functions import embed, parse, prompts
 from tessera.functions.spans import bio_spans, bio_tag
 from tessera.operators import align, evaluate, reflect, retrieval, sampling, stats, triggers
-from tessera.plans import pipeline
-from tessera.plans.config import Settings, dataset
+from tessera.plans import config, pipeline
+from tessera.plans.config import Settings
 from tessera.runtime import cut
 from tessera.sources import cache, corpus
 from tessera.streaming import increments
@@ -112,7 +112,7 @@ def test_readers(spark, tmp_path):
     assert corpus.read_records(spark, str(tmp_path / "train.jsonl"), corpus.NCBI).count() == 0
     with pytest.raises(ValueError):
         corpus.load(spark, "other", "train", str(tmp_path))
-    assert dataset("cmeee").display_to_stat()["疾病"] == "dis" and dataset("ncbi").display_to_stat() is None
+    assert config.stored_types(config.CMEEE_DISPLAY)["疾病"] == "dis" and {r.dataset: r.level for r in config.set_rows(spark).collect()} == {"cmeee": "char", "genia": "token", "ncbi": "token"}
     with pytest.raises(ValueError):
         Settings(passes=("nope",))
 
@@ -258,8 +258,10 @@ def test_retrieval(spark, make_docs):
     assert near.pool_did == "p0" and abs(near.cos - 1) < 1e-12
     both = retrieval.hybrid_nearest(v.join(r.select("did", "units"), "did").where("did = 'q'"), v.join(r.select("did", "units"), "did").where("did <> 'q'"), w, 1).first()
     assert both.pool_did == "p0"
-    with pytest.raises(ValueError):
-        retrieval.nearest(v, v, 1, max_queries=1)
+    # Queries in blocks of any size give the same rows.
+    full, x = sorted(retrieval.nearest(v, v, 2).collect()), v.join(r.select("did", "units"), "did")
+    assert full and sorted(retrieval.nearest(v, v, 2, block=1, step=1).collect()) == full
+    assert sorted(retrieval.hybrid_nearest(x, x, w, 2, block=2, step=1).collect()) == sorted(retrieval.hybrid_nearest(x, x, w, 2).collect())
 
 
 def test_embedding(spark):
@@ -318,6 +320,24 @@ def test_pipeline_end_to_end(spark, make_docs):
         assert m.f1 == 1.0, method
 
 
+def test_pipeline_with_models(spark, make_docs, tmp_path):
+    d = make_docs(("p0", "a cancer here", [(1, 2, "Disease")]), ("p1", "the tumor spread", [(1, 2, "Disease")]), ("q", "the cancer xyz", [(1, 2, "Disease")], "test"), ("c", list("肺癌很重"), [(0, 2, "疾病")], "test", "cmeee"))
+    asked = []
+
+    def model(rows, kind):
+        asked.extend((kind, r.prompt) for r in rows.select("prompt").collect())
+        said = '{"named_entities": [{"name": "cancer", "type": "Disease"}, {"name": "肺癌", "type": "疾病"}]}' if kind == "generate" else "none"
+        return rows.withColumn("answer", F.lit(said))
+
+    vectors = lambda texts: embed.cached_vectors(texts, "text", str(tmp_path / "v"), lambda: lambda xs: [[1.0 + len(t), 2.0] for t in xs])
+    for method in ("m1", "m2"):
+        s, trace = pipeline.predict(d, Settings(method=method, n_shots=2), pipeline.Models(generate=model, reflect=model, embedder=vectors, dim=2))
+        assert {r.did: [tuple(x) for x in r.spans] for r in s.collect()} == {"q": [(1, 2, "Disease")], "c": [(0, 2, "疾病")]}, method
+    prompts_ = dict(asked)
+    assert any("请找出" in t and "疾病" in t for k, t in asked if k == "generate") and any("Find all" in t and "a cancer here" in t for k, t in asked if k == "generate")
+    assert any(k in ("unseen", "fn", "boundary") for k in prompts_)
+
+
 def test_pipeline_takes_all_evaluation_records(spark, make_docs):
     rows = [("p0", "a cancer here", [(1, 2, "Disease")])] + [(f"q{i}", f"the cancer no {i}", [(1, 2, "Disease")], ("dev", "test")[i % 2]) for i in range(45)]
     for method in ("m1", "m2"):
@@ -405,8 +425,6 @@ def test_each_question_is_asked_once(spark, make_docs):
 
 
 def test_label_maps():
-    from tessera.plans import config
-
     ids = config.label_ids(config.CMEEE_TYPES)
     assert ids["O"] == 0 and ids["B-bod"] == 1 and ids["I-sym"] == 18 and config.label_ids(config.GENIA_LABEL_ORDER)["I-cell_type"] == 10
     assert config.type_ids(config.CMEEE_TYPE_ORDER)["dep"] == 8 and config.stored_types(config.CMEEE_DISPLAY)["身体部位"] == "bod"
