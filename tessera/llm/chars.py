@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata as ud
 from collections.abc import Iterator
 from functools import cache
@@ -64,7 +63,7 @@ def printed(ch: str) -> str:
 
 
 def planes() -> range:
-    return range(0x1F200)
+    return range(0x1FC00)
 
 
 @cache
@@ -107,47 +106,6 @@ def needs_form(text: Column) -> Column:
     return text.rlike(f"[^{fixed_class()}]")
 
 
-@cache
-def fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Source and target strings for ``translate``, and the few replacements by several characters."""
-    src, dst, gone, many = [], [], [], []
-    for cp in range(0x80, 0x10000):
-        if 0x3400 <= cp < 0xA000 or 0xAC00 <= cp <= 0xF8FF:
-            continue
-        ch = chr(cp)
-        low = ch.lower()
-        if low != ch and len(low) == 1:
-            continue  # the expression lowers first
-        flat = "".join(c for c in ud.normalize("NFKD", printed(ch)) if not ud.combining(c)).lower()
-        flat = "".join(LOOK_ALIKE.get(c, c) for c in flat)
-        if ud.combining(ch) or not flat:
-            gone.append(ch)
-        elif len(flat) == 1 and flat != ch:
-            src.append(ch)
-            dst.append(flat)
-        elif len(flat) > 1 and flat.isascii() and flat.isalpha() and not 0x2100 <= cp < 0x2150 and not 0x3200 <= cp < 0xFB00:
-            many.append((ch, flat))
-    return "".join(src) + "".join(gone), "".join(dst), many
-
-
-def fold(text: Column) -> Column:
-    """Lower case without accents, hidden characters and look-alikes; the JVM does all of it."""
-    src, dst, many = fold_tables()
-    low = F.lower(text)
-    wide = F.translate(low, src, dst)
-    joined = wide
-    for a, b in many:
-        joined = F.replace(joined, F.lit(a), F.lit(b))
-    rare = "[" + "".join(re.escape(a) for a, _ in many) + "]"
-    return F.when(~low.rlike("[^\\x00-\\x7F]"), low).when(wide.rlike(rare), joined).otherwise(wide)
-
-
-def plain_words(text: Column) -> Column:
-    """Folded text whose runs of anything but letters and digits are one blank; ideographs stand apart as words."""
-    spaced = F.regexp_replace(fold(text), "([\\x{2E80}-\\x{2FDF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FFFF}])", " $1 ")
-    return F.trim(F.regexp_replace(spaced, "[^\\p{L}\\p{N}]+", " "))
-
-
 #: Blocks of ideographs and kana, each sign of which is a word of its own.
 IDEOGRAPHS = ((0x2E80, 0x2FDF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF))
 #: Code points that stand for themselves without a look: ideographs, Hangul, surrogates and private use.

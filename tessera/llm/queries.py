@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import calibrate, counts, forms, leaks, mixing, splits, subjects, truncation, vectors
 from tessera.runtime import table
@@ -26,6 +27,11 @@ def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return counts.ngram_counts(table(spark, d, "docs"), "dataset", "did", "units", 3).where("records > 1")
 
 
+def p2_ngram_marks(spark: SparkSession, d: str) -> DataFrame:
+    """All n-grams of up to three units; ``rare`` marks those of at most two records."""
+    return counts.ngram_counts(table(spark, d, "docs"), "dataset", "did", "units", 3).withColumn("rare", F.col("records") <= 2)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.found(table(spark, d, "docs"))
 
@@ -97,7 +103,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_ngrams, p3_found, p3_report, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_rates, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_subjects, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_ngrams, p2_ngram_marks, p3_found, p3_report, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_rates, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_subjects, p9_composition)}
 
 
 _TYPE_KEY = "regexp_replace(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g')"
@@ -121,6 +127,11 @@ def oracle_sql() -> dict[str, str]:
                  p AS (SELECT dataset, did, units, unnest(generate_series(1, len(units))) AS i FROM d),
                  g AS (SELECT dataset, did, units[i:i + k - 1] AS gram FROM p, (VALUES (1), (2), (3)) AS w(k) WHERE i + k - 1 <= len(units))
             SELECT dataset AS grp, gram, count(*) AS occurrences, count(DISTINCT did) AS records FROM g GROUP BY dataset, gram HAVING count(DISTINCT did) > 1""",
+        "p2_ngram_marks": """
+            WITH d AS (SELECT did, any_value(dataset) AS dataset, any_value(units) AS units FROM docs WHERE did IS NOT NULL AND units IS NOT NULL GROUP BY did),
+                 p AS (SELECT dataset, did, units, unnest(generate_series(1, len(units))) AS i FROM d),
+                 g AS (SELECT dataset, did, units[i:i + k - 1] AS gram FROM p, (VALUES (1), (2), (3)) AS w(k) WHERE i + k - 1 <= len(units))
+            SELECT dataset AS grp, gram, count(*) AS occurrences, count(DISTINCT did) AS records, count(DISTINCT did) <= 2 AS rare FROM g GROUP BY dataset, gram""",
         "p5_found": f"""
             WITH d AS (SELECT did, any_value(dataset) AS dataset, any_value(entities) AS entities FROM docs WHERE did IS NOT NULL AND split = 'train' GROUP BY did),
                  m AS (SELECT dataset, {_TYPE_KEY.format('e.type')} AS tk FROM (SELECT dataset, unnest(entities) AS e FROM d) WHERE e.type IS NOT NULL),

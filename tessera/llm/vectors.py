@@ -176,7 +176,7 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     """``id, vec``: one row per id with a vector of ``dim`` finite numbers that aren't all 0, as bytes."""
     v = F.col("vec").cast("array<float>")
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), v.alias("vec")).where("id is not null and vec is not null").where(F.size("vec") == dim)
-    fine = rows.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e18)) & F.exists("vec", lambda x: F.abs(x) > 1e-18))
+    fine = rows.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

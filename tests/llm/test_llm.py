@@ -154,6 +154,7 @@ def test_neighbours(spark):
     x, ids = clustered(900, rng), np.arange(1, 901)
     rows = [(int(i), [float(y) for y in v]) for i, v in zip(ids, x, strict=True)]
     df = spark.createDataFrame([*rows, rows[3], (2000, None), (2001, [0.0] * 16), (2002, [1.0]), (None, rows[0][1]), (2003, [float("nan")] * 16)], "vec_id bigint, vec array<float>")
+    assert vectors.usable(spark.createDataFrame([(1, [1e30] * 16), (2, [1e-30] * 16), (3, [float("inf")] * 16), (4, [-0.0] * 16)], df.schema), 16).count() == 2
     want = exact(ids, x, 5)
     for factor, shard, least in ((1.0, 100_000, 1.0), (1.0, 200, 1.0), (0.3, 200, 0.9)):
         got: dict = {}
