@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import embed, parse, prompts
 from tessera.functions.spans import bio_spans, bio_tag
 from tessera.operators import align, evaluate, reflect, retrieval, sampling, stats, triggers
-from tessera.plans import config, pipeline
+from tessera.plans import catalog, config, pipeline
 from tessera.plans.config import Settings
 from tessera.runtime import cut
 from tessera.sources import cache, corpus
@@ -359,6 +359,43 @@ def test_token_nearest(spark, make_docs, block, step, dense):
             assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect()), n
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """Rows of each table that the retrieval writes."""
+    rows = []
+
+    def counted(df):
+        rows.append((out := cut(df)).count())
+        return out
+
+    for module in (pipeline, retrieval, catalog):
+        monkeypatch.setattr(module, "cut", counted)
+    return rows
+
+
+def _crowd(make_docs, path):
+    """(30 queries, 570 pool records) that all share a token, also as a data set in the folder."""
+    rng = random.Random(5)
+    rows = [(f"r{i}", ["the"] + [rng.choice("abcdefghij") for _ in range(rng.randint(0, 6))], [(0, 1, "T")] * (i % 3), "train" if i % 20 else "test") for i in range(600)]
+    make_docs(*rows).write.parquet(f"{path}/docs.parquet")
+    return [r for r in rows if r[3] == "test"], [r for r in rows if r[3] == "train"]
+
+
+def _best(spark, path, queries, pool, n=8):
+    """``did``, pool record, score and rank by comparing all pairs."""
+    w = {r.token: r.w for r in stats.weighted(pipeline.train_stats(corpus.corpus(spark.read.parquet(f"{path}/docs.parquet")))).collect()}
+    for did, units, *_ in queries:
+        scored = sorted((sum(w.get(t, 1_000_000) for t in {*units} & {*p[1]}), i) for i, p in enumerate(pool))[-n:]
+        yield from ((did, pool[i], s, k + 1) for k, (s, i) in enumerate(scored))
+
+
+def test_demo_lookup_makes_no_table_of_pairs(spark, make_docs, tmp_path, tables):
+    queries, pool = _crowd(make_docs, tmp_path)
+    want = sorted((did, rank - 1, " ".join(p[1]), len(p[2])) for did, p, _, rank in _best(spark, tmp_path, queries, pool))
+    assert sorted(tuple(r) for r in catalog.demo_lookup(spark, str(tmp_path)).collect()) == want
+    assert tables and max(tables) <= len(queries) + len(pool)
+
+
 def test_stream_of_records(spark, make_docs, tmp_path):
     a, b = make_docs(("a", "x y", [(0, 1, "T")])), make_docs(("b", "x z", []))
     a.write.parquet(str(tmp_path / "in"))
