@@ -396,6 +396,23 @@ def test_demo_lookup_makes_no_table_of_pairs(spark, make_docs, tmp_path, tables)
     assert tables and max(tables) <= len(queries) + len(pool)
 
 
+def test_retrieve_token_topk_makes_no_table_of_pairs(spark, make_docs, tmp_path, tables):
+    queries, pool = _crowd(make_docs, tmp_path)
+    want = sorted((did, p[0], s, rank) for did, p, s, rank in _best(spark, tmp_path, queries, pool))
+    assert sorted(tuple(r) for r in catalog.retrieve_token_topk(spark, str(tmp_path)).collect()) == want
+    assert tables and max(tables) <= len(queries) + len(pool)
+
+
+def test_token_nearest_in_portions(spark, make_docs, tmp_path):
+    _crowd(make_docs, tmp_path)
+    r = corpus.corpus(spark.read.parquet(f"{tmp_path}/docs.parquet")).withColumn("ord", F.when(F.col("ord") % 3 > 0, F.col("ord") - 400)).transform(cut)
+    q, pool, w = r.where("split = 'test'"), pipeline.train(r), cut(stats.weighted(pipeline.train_stats(r)))
+    want = retrieval.ranked(retrieval.with_zero_scores(retrieval.token_scores(q, pool, w), q, pool, 8), "s_token", 8)
+    cols = ["did", "pool_did", "s_token", "rank"]
+    for block, most in ((1000, 1), (1, 50)):
+        assert sorted(retrieval.token_nearest(q, pool, w, 8, block=block, dense=1, most=most).select(cols).collect()) == sorted(want.select(cols).collect()), most
+
+
 def test_stream_of_records(spark, make_docs, tmp_path):
     a, b = make_docs(("a", "x y", [(0, 1, "T")])), make_docs(("b", "x z", []))
     a.write.parquet(str(tmp_path / "in"))
